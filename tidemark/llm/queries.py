@@ -6,18 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import simhash
+from tidemark.llm import bpe, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_documents(
+        _table(spark, sf_dir, "documents"),
+        public_tokenizers.path("word_bpe_49k.json"),
+        outputs=("n_tokens", "ids_sha256", "decoded_sha256"),
+    )
+
+
 def op10_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_bpe_trie": op5_bpe_trie,
     "op10_simhash_pivot": op10_simhash_pivot,
 }
 
