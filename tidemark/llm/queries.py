@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, quality, simhash, topk
+from tidemark.llm import bpe, mixing, quality, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op10_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bradley_terry": op3_bradley_terry,
     "op4_pivot_topk": op4_pivot_topk,
     "op5_bpe_trie": op5_bpe_trie,
+    "op9_pfair_mix": op9_pfair_mix,
     "op10_simhash_pivot": op10_simhash_pivot,
 }
 
