@@ -54,3 +54,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def hash_split(df: DataFrame, *cols: str) -> DataFrame:
     """Deal rows out by ``cols`` over as many partitions as other shuffles use."""
     return df.repartition(shuffle_partitions(df.sparkSession), *[F.col(c) for c in cols])
+
+
+def shared_file_system(uri: str):
+    """File system and path of a folder in the shared store, for use in any process."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def run_per_file(df: DataFrame, work, schema: str) -> DataFrame:
+    """``mapInArrow`` with about as many tasks as there are rows; a row describes a file.
+
+    The rows are few (a file each), so dealing them out costs nothing, and no task gets more
+    than its share of files.
+    """
+    n = max(1, min(df.count(), 16 * shuffle_partitions(df.sparkSession)))
+    return df.repartition(n).mapInArrow(work, schema)

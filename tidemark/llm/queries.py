@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, mixing, quality, simhash, topk
+from tidemark.llm import bpe, mixing, quality, simhash, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(_table(spark, sf_dir, "pages"))
+
+
 def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bradley_terry": op3_bradley_terry,
     "op4_pivot_topk": op4_pivot_topk,
     "op5_bpe_trie": op5_bpe_trie,
+    "op8_arc_to_warc": op8_arc_to_warc,
     "op9_pfair_mix": op9_pfair_mix,
     "op10_simhash_pivot": op10_simhash_pivot,
 }
