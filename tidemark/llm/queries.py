@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, mixing, quality, simhash, topk, warc
+from tidemark.llm import bpe, mixing, pii, quality, simhash, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,11 @@ def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_pii(docs).withColumn("n_entities", F.size("entities").cast("long"))
+
+
 def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(_table(spark, sf_dir, "pages"))
 
@@ -47,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bradley_terry": op3_bradley_terry,
     "op4_pivot_topk": op4_pivot_topk,
     "op5_bpe_trie": op5_bpe_trie,
+    "op6_surrogates": op6_surrogates,
     "op8_arc_to_warc": op8_arc_to_warc,
     "op9_pfair_mix": op9_pfair_mix,
     "op10_simhash_pivot": op10_simhash_pivot,
