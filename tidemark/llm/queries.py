@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, mixing, pii, quality, simhash, topk, warc
+from tidemark.llm import bpe, mixing, pii, quality, simhash, tokencount, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,12 @@ def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(docs).withColumn("n_entities", F.size("entities").cast("long"))
 
 
+def op7_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.document_token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), eod=50256)
+
+
 def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(_table(spark, sf_dir, "pages"))
 
@@ -54,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pivot_topk": op4_pivot_topk,
     "op5_bpe_trie": op5_bpe_trie,
     "op6_surrogates": op6_surrogates,
+    "op7_separator_scan": op7_separator_scan,
     "op8_arc_to_warc": op8_arc_to_warc,
     "op9_pfair_mix": op9_pfair_mix,
     "op10_simhash_pivot": op10_simhash_pivot,
