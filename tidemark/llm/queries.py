@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, mixing, pii, quality, simhash, tokencount, topk, warc
+from tidemark.llm import bpe, mixing, pii, quality, simhash, substrings, tokencount, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(_table(spark, sf_dir, "documents"), outputs=("n_words", "n_removed", "kept_sha256"))
+
+
 def op3_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -56,6 +60,7 @@ def op10_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_trees": op2_suffix_trees,
     "op3_bradley_terry": op3_bradley_terry,
     "op4_pivot_topk": op4_pivot_topk,
     "op5_bpe_trie": op5_bpe_trie,
@@ -67,6 +72,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_suffix_trees": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), p AS (
+            SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d
+        ), s AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM p
+        ), o AS (
+            SELECT g, min(doc_id) AS owner FROM s GROUP BY g
+        ), gone AS (
+            SELECT DISTINCT s.doc_id, s.i + k.k AS i
+            FROM s JOIN o ON s.g = o.g AND o.owner < s.doc_id, (SELECT unnest(range(13)) AS k) k
+        ), words AS (
+            SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d
+        ), kept AS (
+            SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t
+            FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words,
+               CAST(len(d.w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(kept.t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
     "op4_pivot_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
