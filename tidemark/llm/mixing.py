@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 BLOCK = 32
 #: Slots of a period, where weights are derived from counts.
 PERIOD = 1000
-#: Documents of a bucket in which ranks are counted, about.
-BUCKET = 20_000
+#: Documents of a bucket in which ranks are counted, about; a source has as many as it needs.
+BUCKET = 2_000
 #: Numbers of a period's table up to which it is sent to every executor (8 bytes each).
 BROADCAST_NUMBERS = 2_000_000
 
@@ -88,19 +88,14 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, doc_id: str = "d
     total = base.select(doc_id).count()
     if not total:
         return base.withColumn(position, F.lit(0).cast("long"))
-    buckets = max(1, -(-total // BUCKET))
     key = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
     hashed = F.xxhash64(F.col(doc_id))
-    dealt = base.select(
-        key.alias("s"), F.pmod(F.shiftright(hashed, 20), F.lit(buckets)).alias("b"), hashed.alias("h"), F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("row")
-    )
-    # sizes of buckets and sources read the id and the source alone
-    sizes = base.select(doc_id, source).select(key.alias("s"), F.pmod(F.shiftright(hashed, 20), F.lit(buckets)).alias("b")).groupBy("s", "b").agg(F.count("*").alias("n"))
-    counts = sizes.groupBy("s").agg(F.sum("n").alias("n"))
+    counts = base.groupBy(key.alias("s")).agg(F.count("*").alias("n"))
     if weights:
         weighted = counts.withColumn("a", F.coalesce(F.try_element_at(_given(weights), F.substring("s", 2, 1 << 30)), F.lit(1)))
     else:
         weighted = _weights_from_counts(counts, period, power)
+    weighted = weighted.withColumn("buckets", F.ceil(F.col("n") / BUCKET))
     one = weighted.agg(F.sort_array(F.collect_list(F.struct("s", "n", "a"))).alias("x")).select(F.col("x.s").alias("names"), F.col("x.n").alias("sizes"), F.col("x.a").alias("a"))
     numbers = one.select(F.size("a").cast("long") * F.aggregate("a", F.lit(0), lambda s, x: s + x)).first()[0]
     sent = F.broadcast if numbers <= BROADCAST_NUMBERS else (lambda df: df)
@@ -110,12 +105,14 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, doc_id: str = "d
         .join(one.select(F.lit(1).alias("one"), "names", "sizes", "a"), "one")
         .select(F.element_at("names", F.col("i") + 1).alias("s"), "k", "before", "sizes", "a")
     )
+    few = sent(weighted.select("s", F.col("a").alias("own"), "buckets"))
+    bucket = F.pmod(F.shiftright("h", 16), F.col("buckets"))
+    row = F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("row")
+    dealt = base.select(key.alias("s"), hashed.alias("h"), row).join(few, "s").withColumn("b", bucket)
+    # sizes of buckets read the id and the source alone
+    sizes = base.select(key.alias("s"), hashed.alias("h")).join(few, "s").groupBy("s", bucket.alias("b")).agg(F.count("*").alias("n"))
     before_bucket = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    skips = (
-        sizes.withColumn("skip", F.coalesce(F.sum("n").over(before_bucket), F.lit(0)))
-        .join(weighted.select("s", F.col("a").alias("own")), "s")
-        .select("s", "b", "skip", "own")
-    )
+    skips = sizes.withColumn("skip", F.coalesce(F.sum("n").over(before_bucket), F.lit(0))).select("s", "b", "skip")
     rank = F.row_number().over(Window.partitionBy("s", "b").orderBy("h", F.col(f"row.`{doc_id}`"))) - 1
     at = F.col("rank") % block
     ranked = (
