@@ -71,3 +71,33 @@ def run_per_file(df: DataFrame, work, schema: str) -> DataFrame:
     """
     n = max(1, min(df.count(), 16 * shuffle_partitions(df.sparkSession)))
     return df.repartition(n).mapInArrow(work, schema)
+
+
+def whole_groups(batches, key: str):
+    """Arrow tables of whole groups from batches sorted by the long column ``key``.
+
+    Gives each table with the places where its groups begin, the table's length last. What is
+    held back is the last group seen, which may go on in the next batch.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    held: list[pa.RecordBatch] = []
+
+    def cut(parts):
+        table = pa.Table.from_batches(parts)
+        keys = table.column(key).to_numpy()
+        return table, np.r_[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys)]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(key).to_numpy(zero_copy_only=False)
+        begin = int(np.searchsorted(keys, keys[-1], "left"))
+        if begin == 0 and (not held or held[-1].column(key)[-1].as_py() == keys[0]):
+            held.append(b)
+            continue
+        yield cut([*held, b.slice(0, begin)] if begin else held)
+        held = [b.slice(begin)]
+    if held:
+        yield cut(held)

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, mixing, pii, quality, simhash, substrings, tokencount, topk, warc
+from tidemark.llm import bpe, mixing, neardup, pii, quality, simhash, substrings, tokencount, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(_table(spark, sf_dir, "documents"), outputs=("n_words", "n_removed", "kept_sha256"))
 
@@ -60,6 +64,7 @@ def op10_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nn_descent": op1_nn_descent,
     "op2_suffix_trees": op2_suffix_trees,
     "op3_bradley_terry": op3_bradley_terry,
     "op4_pivot_topk": op4_pivot_topk,

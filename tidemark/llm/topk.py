@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,7 +102,7 @@ def scaled_vectors(vectors: DataFrame, vec_id: str, embedding: str, scale: int)
 
 def _matrix(values: pa.Array, width: int) -> np.ndarray:
     """Rows of a list column as one matrix; shorter vectors end in zeros."""
-    flat, lengths = values.flatten().to_numpy(zero_copy_only=False), pa.compute.list_value_length(values).to_numpy(zero_copy_only=False)
+    flat, lengths = values.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(values).to_numpy(zero_copy_only=False)
     if (lengths == width).all():
         return flat.reshape(len(lengths), width)
     out = np.zeros((len(lengths), width), dtype=flat.dtype)
