@@ -28,7 +28,7 @@ def theirs(text):
     return " ".join(map(str, ids)), REF.decode(ids, skip_special_tokens=False)
 
 
-CASES = ["", " ", "Hello,  wörld! it's 123 don't", "aaaaaaaaaaaaaaaaaaaaaaaaaaa", "<|endoftext|>x<|startoftext|> <|endoftext", "ΑΣ ΣΑΣ σς", "İstanbul ẞ ǅ", "é é ẛ̣", "a\x1cb\x85c　d​e", "'S 'LL 're''s", "你好，世界 ١٢٣ ½ Ⅷ", "😀😀 👩‍👩‍👧", "\u0000\u0001", "ﬁ ﬀ"]
+CASES = ["", " ", "Hello,  wörld! it's 123 don't", "aaaaaaaaaaaaaaaaaaaaaaaaaaa", "<|endoftext|>x<|startoftext|> <|endoftext", "ΑΣ ΣΑΣ σς", "İstanbul ẞ ǅ", "é é ẛ̣", "a\x1cb\x85c　d​e", "'S 'LL 're''s", "你好，世界 ١٢٣ ½ Ⅷ", "😀😀 👩‍👩‍👧", "\u0000\u0001", "ﬁ ﬀ", ":\U00018d80", "a\u1c89b \U0001fae9 x"]
 
 
 @pytest.mark.parametrize("text", CASES)
@@ -43,6 +43,17 @@ def test_any_text(text):
     assert ours(text) == theirs(text)
 
 
+def test_every_character():
+    import unicodedata
+
+    old = unicodedata.ucd_3_2_0
+    known = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000 and old.category(chr(c)) != "Cn"]
+    texts = [" ".join(f"a{c}1 {c}:{c}e" for c in known[i : i + 64]) for i in range(0, len(known), 64)]
+    bad = [t for t in texts if ours(t) != theirs(t)]
+    singles = [c for t in bad for c in {w[1] for w in t.split(" ")[::2] if len(w) > 1} if ours(f"a{c}1 {c}:{c}e") != theirs(f"a{c}1 {c}:{c}e")]
+    assert not bad, (len(bad), [hex(ord(c)) for c in singles][:50])
+
+
 def test_real_words_and_pieces(monkeypatch):
     rng = random.Random(2)
     tokens = [t.replace("</w>", "") for t in REF.get_vocab() if t.isascii()]

@@ -20,16 +20,34 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 #: White space as Unicode defines it.
 WHITE_SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 #: Fixed values of the vocabulary's word splitter, with the white space spelled out.
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE_SPACE}\p{{L}}\p{{N}}]+")
 BLANK = regex.compile(f"[{WHITE_SPACE}]")
+
+
+def _recent() -> regex.Pattern:
+    """Characters that Unicode 3.2 didn't have: what they are depends on a library's version."""
+    old, out, begin = unicodedata.ucd_3_2_0, [], None
+    for c in range(0x110001):
+        new = c < 0x110000 and old.category(chr(c)) == "Cn"
+        if new and begin is None:
+            begin = c
+        elif not new and begin is not None:
+            out.append(f"\\U{begin:08x}-\\U{c - 1:08x}")
+            begin = None
+    return regex.compile("[" + "".join(out) + "]")
+
+
+RECENT = _recent()
 #: Characters of text handled at once: of several short texts, or of a piece of a long one.
 CHUNK = 2_000_000
 #: Words whose encodings a worker remembers in each of two generations.
@@ -76,6 +94,8 @@ class Vocabulary:
         self._apart: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
         self._symbols = byte_symbols()
+        self._bytes = {c: b for b, c in enumerate(self._symbols)}
+        self._library = Tokenizer.from_str(definition)
         self._split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def _stay_apart(self, left: int, right: int, bound: int) -> bool:
@@ -158,6 +178,11 @@ class Vocabulary:
         for part in self._split.split(text) if self._split else [text]:
             if part in self.special:
                 out.append(part)
+            elif part and not part.isascii() and RECENT.search(part):
+                # the library's own tables say what its splitter makes of these characters
+                library = self._library
+                for shown, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(part)):
+                    out.append(bytes(map(self._bytes.__getitem__, shown)).decode("utf-8", "surrogatepass"))
             elif part:
                 # lower case is taken character by character: no final form of sigma
                 out += WORDS.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
@@ -244,7 +269,7 @@ class _Text:
         self.ids_sum.update((gap + ids).encode())
         self.text_sum.update((gap + tokens).encode())
         if self.ids is not None:
-            self.ids += map(int, ids.split(" "))
+            self.ids.append(np.fromstring(ids, dtype=np.int32, sep=" "))
         if self.parts is not None:
             self.parts.append(gap + tokens)
 
@@ -280,7 +305,7 @@ def encode_documents(docs: DataFrame, tokenizer_json: str, doc_id: str = "doc_id
             values: dict[str, list] = {c: [] for c in outputs}
 
             def close(x):
-                found = {"n_tokens": x.n, "ids": x.ids, "decoded": None if x.parts is None else "".join(x.parts), "ids_sha256": x.ids_sum.hexdigest(), "decoded_sha256": x.text_sum.hexdigest()}
+                found = {"n_tokens": x.n, "ids": x.ids and np.concatenate(x.ids), "decoded": None if x.parts is None else "".join(x.parts), "ids_sha256": x.ids_sum.hexdigest(), "decoded_sha256": x.text_sum.hexdigest()}
                 for c in outputs:
                     values[c].append(found[c])
 
