@@ -408,7 +408,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, do
         .groupBy(F.shiftright("ref", _REF).alias("chunk"))
         .agg(F.collect_list(F.struct(F.col("ref").bitwiseAND((1 << _REF) - 1).alias("idx"), "key", (F.col("docs") > GROUP).alias("big"))).alias("found"))
     )
-    rows = materialize(stretches(folder, chunks.join(several, "chunk", "left"), common, window, gram), "stretches")
+    # what is found is far larger than the list of files it comes from, all that Spark can go by:
+    # without the hint it would be broadcast
+    rows = materialize(stretches(folder, chunks.join(several.hint("merge"), "chunk", "left"), common, window, gram), "stretches")
     ranges = _tree_ranges(rows.filter("text IS NOT NULL"), window).unionByName(_prefix_ranges(rows.filter("text IS NULL")))
     by_chunk = ranges.groupBy(F.shiftright("ref", _REF).alias("chunk")).agg(
         F.collect_list(F.struct(F.col("ref").bitwiseAND((1 << _REF) - 1).alias("idx"), "first", "last")).alias("ranges")
@@ -443,4 +445,4 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, do
                 yield pa.RecordBatch.from_pydict({"doc_id": ids, **values}, schema=done)
 
     types = {"n_words": "long", "n_removed": "long", "kept": "string", "kept_sha256": "string"}
-    return run_per_file(chunks.join(by_chunk, "chunk", "left"), finish, ", ".join(["doc_id long", *[f"{c} {types[c]}" for c in outputs]]))
+    return run_per_file(chunks.join(by_chunk.hint("merge"), "chunk", "left"), finish, ", ".join(["doc_id long", *[f"{c} {types[c]}" for c in outputs]]))
