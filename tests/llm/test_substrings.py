@@ -54,8 +54,9 @@ def test_against_brute_force(spark, monkeypatch, window, gram):
     assert run(spark, rows, window=window, gram=gram) == brute(rows, window)
 
 
-@pytest.mark.parametrize("group,least", [(3, 40), (20000, 2), (2, 3)])
-def test_large_groups_and_common_keys(spark, monkeypatch, group, least):
+@pytest.mark.parametrize("group,least,most", [(3, 40, 200), (20000, 2, 10**6), (2, 3, 10**6), (20000, 2, 5)])
+def test_large_groups_and_common_keys(spark, monkeypatch, group, least, most):
+    monkeypatch.setattr(sub, "COMMON_MOST", most)
     monkeypatch.setattr(sub, "GROUP", group)
     monkeypatch.setattr(sub, "COMMON_LEAST", least)
     monkeypatch.setattr(sub, "CHUNK_BYTES", 5000)

@@ -11,8 +11,10 @@ and the smallest doc_id below a node owns them.
 
 A group that is too large for a task gets the longest prefix there is, all ``WINDOW`` words:
 its suffixes are dealt out by a digest of their words, and a node's smallest doc_id becomes an
-aggregate that combines before the shuffle. So no group is unbounded, and a passage that a
-third of all documents share costs a row for each task and occurrence.
+aggregate that combines before the shuffle. For the commonest keys that starts within a chunk:
+a chunk sends a row for each distinct suffix, and the repeats found, if they fit in
+``COMMON_MOST`` rows, are looked up where the chunks are read. So no group is unbounded, and a
+passage that a third of all documents share costs a row for each chunk.
 
 Texts are written once, as compressed chunks in the shared folder; later passes read a chunk
 at a time, and only keys, stretches and ranges of removed words are shuffled. Wholly equal
@@ -215,9 +217,43 @@ def _taking_part(ids: list, texts: list[bytes], copies: list[int] | None) -> lis
     return [b"" if i is None or n in skip else t for n, (i, t) in enumerate(zip(ids, texts))]
 
 
-def stretches(folder: str, chunks: DataFrame, common: np.ndarray, window: int, gram: int) -> DataFrame:
+def common_owners(folder: str, chunks: DataFrame, common: np.ndarray, window: int, gram: int) -> DataFrame:
+    """``key``, ``mark``, ``owner`` of the suffixes with common keys that start in several documents."""
+    names = ["key", "mark", "least", "most"]
+    schema = pa.schema([(n, pa.int64()) for n in names])
+
+    def combine(batches):
+        for b in batches:
+            for name, copies in zip(*(b.column(c).to_pylist() for c in ("file", "copies"))):
+                ids, texts = _read_chunk(folder, name)
+                texts = _taking_part(ids, texts, copies)
+                owner, key, at, n = Words(texts, window, gram).stretches()
+                found: dict[tuple[int, int], list[int]] = {}
+                last, words = -1, []
+                for j in np.flatnonzero(np.isin(key, common)).tolist():
+                    o, a, k = int(owner[j]), int(at[j]), int(key[j].view(np.int64))
+                    if o != last:
+                        last, words, d = o, texts[o].split(), ids[o]
+                    for s in range(a, a + int(n[j])):
+                        x = found.setdefault((k, _mark(words[s : s + window])), [d, d])
+                        if d < x[0]:
+                            x[0] = d
+                        elif d > x[1]:
+                            x[1] = d
+                rows = [[k for k, _ in found], [m for _, m in found], *zip(*found.values())] if found else [[]] * 4
+                yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, rows))), schema=schema)
+
+    met = run_per_file(chunks, combine, "key long, mark long, least long, most long")
+    ends = met.groupBy("key", "mark").agg(F.min("least").alias("owner"), F.max("most").alias("most"))
+    return ends.filter("owner < most").select("key", "mark", "owner")
+
+
+def stretches(folder: str, chunks: DataFrame, common: np.ndarray, window: int, gram: int, known: dict[tuple[int, int], int] | None = None) -> DataFrame:
     """Stretches whose key occurs in several documents.
 
+    With ``known``, the owners of all repeated suffixes that have a common key, those are
+    settled here: a row without ``key`` is a range of ``n`` suffixes that start elsewhere too.
+
     ``key``, ``doc_id``, ``ref``, ``at`` (first word), ``n`` (suffixes) and ``text`` for groups
     that get a tree; suffixes of groups too large for one have ``mark`` (digest of their words)
     in place of ``text`` and a row each.
@@ -225,7 +261,10 @@ def stretches(folder: str, chunks: DataFrame, common: np.ndarray, window: int, g
     names = ["key", "doc_id", "ref", "at", "n", "text", "mark"]
     schema = pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64()))))
 
+    sent = chunks.sparkSession.sparkContext.broadcast(known)  # COMMON_MOST entries at most
+
     def gather(batches):
+        table = sent.value
         for b in batches:
             for i in range(b.num_rows):
                 chunk, name, copies = (b.column(c)[i].as_py() for c in ("chunk", "file", "copies"))
@@ -249,13 +288,24 @@ def stretches(folder: str, chunks: DataFrame, common: np.ndarray, window: int, g
                 large = np.isin(key, common)
                 large[hit] |= big[spot[hit]]
                 rows: list[list] = [[] for _ in names]
+                settled = np.isin(key, common) if known is not None else np.zeros(len(key), dtype=bool)
                 last, words = -1, []
                 for j in np.flatnonzero(hit | large).tolist():
                     o = int(owner[j])
                     if o != last:
                         last, words = o, texts[o].split()
+                        end = -1
                     a, m, k = int(at[j]), int(n[j]), int(signed[j])
-                    if large[j]:
+                    if settled[j]:
+                        for s in range(a, a + m):
+                            if table.get((k, _mark(words[s : s + window])), ids[o]) < ids[o]:
+                                if s == end:  # goes on from the last row
+                                    rows[4][-1] += 1
+                                else:
+                                    for c, v in zip(rows, (None, ids[o], (chunk << _REF) + o, s, 1, None, None)):
+                                        c.append(v)
+                                end = s + 1
+                    elif large[j]:
                         for s in range(a, a + m):
                             for c, v in zip(rows, (k, ids[o], (chunk << _REF) + o, s, 1, None, _mark(words[s : s + window]))):
                                 c.append(v)
@@ -410,8 +460,15 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, do
     )
     # what is found is far larger than the list of files it comes from, all that Spark can go by:
     # without the hint it would be broadcast
-    rows = materialize(stretches(folder, chunks.join(several.hint("merge"), "chunk", "left"), common, window, gram), "stretches")
-    ranges = _tree_ranges(rows.filter("text IS NOT NULL"), window).unionByName(_prefix_ranges(rows.filter("text IS NULL")))
+    known = None
+    if len(common):
+        owners = materialize(common_owners(folder, chunks, common, window, gram), "common-owners")
+        if owners.count() <= COMMON_MOST:
+            found = owners.toArrow()
+            known = dict(zip(zip(found.column("key").to_pylist(), found.column("mark").to_pylist()), found.column("owner").to_pylist()))
+    rows = materialize(stretches(folder, chunks.join(several.hint("merge"), "chunk", "left"), common, window, gram, known), "stretches")
+    settled = rows.filter("key IS NULL").select("ref", F.col("at").alias("first"), (F.col("at") + F.col("n") - 1).alias("last"))
+    ranges = _tree_ranges(rows.filter("text IS NOT NULL"), window).unionByName(_prefix_ranges(rows.filter("mark IS NOT NULL"))).unionByName(settled)
     by_chunk = ranges.groupBy(F.shiftright("ref", _REF).alias("chunk")).agg(
         F.collect_list(F.struct(F.col("ref").bitwiseAND((1 << _REF) - 1).alias("idx"), "first", "last")).alias("ranges")
     )
