@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions.aggregates import n_unique, nearest_quantiles
-from tidemark.functions.ranking import global_rank, range_bucket, text_bucket
+from tidemark.functions.ranking import global_rank, magnitude_bucket, range_bucket, text_bucket
 from tidemark.functions.scalars import any_true, clip, fold, null_tokens
 from tidemark.functions.timeparts import beijing_date, iso_weekday, midnight, midnight_epoch
 from tidemark.operators import base, behavior, calibrate, encode, metrics, models, pastctr, quality
@@ -57,6 +57,10 @@ def test_global_ranks(spark):
     df = spark.createDataFrame([(n,) for n in nums], "n long")
     got = sorted((r["rank"], r.n) for r in global_rank(df, range_bucket(F.col("n"), min(nums), max(nums)), [F.col("n")]).collect())
     assert got == list(enumerate(sorted(nums)))
+    wide = nums + [-(2**60), 2**62, 0, -1, 8, 7, 2**53]
+    df2 = spark.createDataFrame([(n,) for n in set(wide)], "n long")
+    got = sorted((r["rank"], r.n) for r in global_rank(df2, magnitude_bucket(F.col("n")), [F.col("n")]).collect())
+    assert got == list(enumerate(sorted(set(wide))))
     assert tables.with_row_index(df, ["n"]).agg(F.max("impression_id")).first()[0] == 499
 
 
@@ -165,7 +169,9 @@ def test_first_date_has_no_past(spark):
 
 def test_encoding_of_null_and_unseen(spark):
     train = spark.createDataFrame([(5, "b"), (3, "a"), (5, None), (None, "b")], "x long, s string")
-    maps = {"x": encode.vocabulary(train, "x"), "s": encode.vocabulary(train, "s")}
+    maps = encode.vocabularies(train, ["x", "s"])
+    for f, m in maps.items():
+        assert sorted(map(tuple, m.collect())) == sorted(map(tuple, encode.vocabulary(train, f).collect()))
     rows = spark.createDataFrame([(3, "b"), (5, "z"), (9, None), (None, "a")], "x long, s string")
     got = {(r.x, r.s): (r.x_idx, r.s_idx) for r in encode.encode(rows, maps).collect()}
     assert got == {(3, "b"): (2, 3), (5, "z"): (3, 1), (9, None): (1, 1), (None, "a"): (1, 2)}

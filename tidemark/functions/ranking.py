@@ -25,6 +25,18 @@ def range_bucket(x: Column, low: float, high: float, buckets: int = BUCKETS) ->
     return unit_bucket((x.cast("double") - F.lit(float(low))) / F.lit(width), buckets) if width > 0 else F.lit(0)
 
 
+def magnitude_bucket(x: Column, parts: int = 64) -> Column:
+    """Bucket of any number without knowing its bounds: ``parts`` for each doubling, by sign.
+
+    Rounding of the logarithm moves nothing: the last bucket of a doubling, counted one too
+    far, is the first of the next.
+    """
+    a = F.abs(x.cast("double")) + 1
+    e = F.floor(F.log2(a))
+    b = (e * parts + F.floor((a / F.pow(F.lit(2.0), e) - 1) * parts)).cast("int")
+    return F.when(x < 0, -b).otherwise(b)
+
+
 def text_bucket(s: Column) -> Column:
     """Bucket of a string by its first two bytes, in the order of strings."""
     first = F.conv(F.rpad(F.substring(F.hex(F.encode(s, "UTF-8")), 1, 4), 4, "0"), 16, 10)

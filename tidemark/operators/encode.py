@@ -6,35 +6,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.ranking import global_rank, range_bucket, text_bucket
+from tidemark.functions.ranking import global_rank, magnitude_bucket, text_bucket
 from tidemark.functions.scalars import log1p_float
 from tidemark.operators.base import if_small
 from tidemark.schemas import BINARY, CATEGORICAL, ENTITIES, FIRST_INDEX, FIXED_DOMAINS, MODEL_COUNTS, RECENCIES, RECENCY_FILL, UNKNOWN, index_name
 
 
-def vocabulary(train: DataFrame, feature: str) -> DataFrame:
-    """``feature``, ``idx``: distinct values that occur, numbered from 2 in their order.
+def _fixed(spark: SparkSession, feature: str) -> DataFrame:
+    low, high = min(FIXED_DOMAINS[feature]), max(FIXED_DOMAINS[feature])
+    return spark.range(low, high + 1).select(F.col("id").cast("int").alias(feature), (F.col("id") - low + FIRST_INDEX).alias("idx"))
+
 
-    Features with a fixed domain are numbered by it, whatever occurs.
+def vocabularies(train: DataFrame, features: list[str] = CATEGORICAL) -> dict[str, DataFrame]:
+    """``feature``, ``idx`` for each: distinct values that occur, numbered from 2 in their order.
+
+    All come from one pass: values of all features are made distinct and ranked together, and
+    what is found is kept for the joins to follow. Features with a fixed domain are numbered by
+    it, whatever occurs. Features are whole numbers or strings.
     """
+    learnt = [f for f in features if f not in FIXED_DOMAINS]
+    out = {f: _fixed(train.sparkSession, f) for f in features if f in FIXED_DOMAINS}
+    if learnt:
+        types = {f: train.schema[f].dataType for f in learnt}
+        text = lambda f: isinstance(types[f], T.StringType)
+        null = F.lit(None)
+        arms = [F.struct(F.lit(f).alias("feature"), (null if text(f) else F.col(f)).cast("long").alias("num"), (F.col(f) if text(f) else null).cast("string").alias("txt")) for f in learnt]
+        values = train.select(F.explode(F.array(*arms)).alias("x")).select("x.*").filter("num IS NOT NULL OR txt IS NOT NULL").distinct()
+        bucket = F.when(F.col("num").isNull(), text_bucket(F.col("txt"))).otherwise(magnitude_bucket(F.col("num")))
+        ranked = global_rank(values, bucket, [F.col("num"), F.col("txt")], "idx", ["feature"]).persist()
+        ranked.count()  # joins are planned by the size it turns out to have
+        for f in learnt:
+            value = F.col("txt") if text(f) else F.col("num").cast(types[f])
+            out[f] = ranked.filter(F.col("feature") == f).select(value.alias(f), (F.col("idx") + FIRST_INDEX).alias("idx"))
+    return {f: out[f] for f in features}
+
+
+def vocabulary(train: DataFrame, feature: str) -> DataFrame:
+    """The vocabulary of one feature, as a plan that isn't kept."""
     if feature in FIXED_DOMAINS:
-        spark = train.sparkSession
-        low, high = min(FIXED_DOMAINS[feature]), max(FIXED_DOMAINS[feature])
-        return spark.range(low, high + 1).select(F.col("id").cast("int").alias(feature), (F.col("id") - low + FIRST_INDEX).alias("idx"))
+        return _fixed(train.sparkSession, feature)
     values = train.filter(F.col(feature).isNotNull()).select(feature).distinct()
-    if isinstance(values.schema[0].dataType, T.StringType):
-        bucket = text_bucket(F.col(feature))
-    else:
-        low, high = train.agg(F.min(feature).cast("double"), F.max(feature).cast("double")).first()
-        bucket = range_bucket(F.col(feature), low or 0.0, high or 0.0)
-    ranked = global_rank(values, bucket, [F.col(feature)], "idx")
+    bucket = text_bucket if isinstance(values.schema[0].dataType, T.StringType) else magnitude_bucket
+    ranked = global_rank(values, bucket(F.col(feature)), [F.col(feature)], "idx")
     return ranked.withColumn("idx", F.col("idx") + FIRST_INDEX)
 
 
-def vocabularies(train: DataFrame, features: list[str] = CATEGORICAL) -> dict[str, DataFrame]:
-    return {f: vocabulary(train, f) for f in features}
-
-
 def encode(df: DataFrame, maps: dict[str, DataFrame]) -> DataFrame:
     """``df`` with an index for each feature: 1 for null and for what train doesn't have.
 

@@ -319,7 +319,7 @@ query("l: impression_id clk " + " ".join([*_INDEX, *BINARY]) + "; t: event_date_
 @query("s: check; l: violations", O.checks("minput", {**{f"{i}_range": f"{i} < 1 OR {i} >= (SELECT count(*) + 2 FROM v_{f})" for i, f in zip(_INDEX, CATEGORICAL)}, "weekday_unknown": "day_of_week_idx = 1"}) + " UNION ALL " + O.checks("minput", {f"{c}_not_finite": f"{c} IS NULL OR NOT isfinite(CAST({c} AS DOUBLE))" for c in [*BINARY, *_NUM]}))
 def model_input_checks(s, d):
     train = cold_base(s, d).filter("split = 'train'")
-    sizes = {index_name(f): E.vocabulary(train, f).count() + 2 for f in CATEGORICAL}
+    sizes = {index_name(f): v.count() + 2 for f, v in E.vocabularies(train).items()}
     table = inputs(s, d)
     return Q.index_checks(table, sizes).unionByName(Q.feature_checks(table, [*BINARY, *_NUM]))
 
