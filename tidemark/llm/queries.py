@@ -77,6 +77,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_nn_descent": """
+        WITH RECURSIVE ok AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), v AS (
+            SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM ok
+        ), l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+            ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95
+        ), reach AS (
+            SELECT vec_id, vec_id AS node FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN l ON l.a = r.node
+        ), c AS (
+            SELECT vec_id, min(node) AS component_id FROM reach GROUP BY vec_id
+        ), d AS (
+            SELECT a, count(*) AS n_links FROM l GROUP BY a
+        )
+        SELECT c.vec_id, CAST(coalesce(d.n_links, 0) AS BIGINT) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+        FROM c LEFT JOIN d ON d.a = c.vec_id
+    """,
     "op2_suffix_trees": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
