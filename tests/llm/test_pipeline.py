@@ -76,3 +76,15 @@ def test_encoding(spark, outputs):
         assert x.decoded_sha256 == hashlib.sha256(ref.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     whole = pipeline.run(spark, SMALL).toPandas()
     assert dict(zip(whole.doc_id, whole.ids_sha256)) == dict(zip(last.doc_id, last.ids_sha256))
+
+
+def test_odd_rows(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, fp string, row int"
+    rows = [(1, None, None, None, None, 1.0, "a", 1), (2, "", "en", "a", 0, 1.0, "b", 2), (None, "no id a@b.org", "en", "b", 3, 1.0, "c", 3), (4, "long words " * 80000, "en", None, 9, None, None, None), (5, "one two three four", "en", "a", 4, 1.0, "d", 5), (5, "one two three four", "en", "a", 4, 1.0, "d", 5)]
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, schema)
+        for i, (_, stage) in enumerate(pipeline.STAGES):
+            docs = materialize(stage(spark, docs, SMALL), "odd")
+            if i < 4:
+                assert docs.columns == pipeline.COLUMNS
+        assert docs.count() <= len(data)
