@@ -57,3 +57,10 @@ def split_of(day: Column, train: tuple[date, date], val: date, test: date) -> Co
         .when(day == F.lit(test), "test")
         .otherwise("out_of_range")
     )
+
+
+def text_in_two_zones(epoch: Column) -> Column:
+    """Epoch seconds as text: UTC and Beijing's wall clock."""
+    utc = utc_time(epoch)
+    form = "yyyy-MM-dd HH:mm:ss"
+    return F.concat(F.date_format(utc, form), F.lit(" UTC / "), F.date_format(beijing_time(utc), form), F.lit(" Beijing"))

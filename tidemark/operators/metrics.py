@@ -161,3 +161,24 @@ def slice_diagnostics(df: DataFrame, slices: list[list[str]]) -> DataFrame:
     arms = F.array(*[F.struct(F.lit("+".join(s) or "overall").alias("slice"), F.concat_ws("|", *[F.col(c).cast("string") for c in s]).alias("value")) for s in slices])
     long = df.select("clk", "prediction", F.explode(arms).alias("s")).select("clk", "prediction", "s.slice", "s.value")
     return probability_metrics(long, ["slice", "value"])
+
+
+def evidence_bucket(n: Column) -> Column:
+    """Buckets of a count of past rows: none, below 10, below 100, more."""
+    return F.when(n == 0, "0").when(n < 10, "1-9").when(n < 100, "10-99").otherwise("100+")
+
+
+def bootstrap(df: DataFrame, rounds: int = 20, key: str = "impression_id", seed: int = 7) -> DataFrame:
+    """``round`` and the metrics' mean prediction, click rate and log loss of resampled rows.
+
+    Each row's weight in a round is a Poisson draw of mean 1 from a hash of its key, so rounds
+    need no second copy of the table and come out the same however it is partitioned.
+    """
+    draws = F.array(*[F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(r)), F.lit(1_000_000)) / 1_000_000.0 for r in range(rounds)])
+    # cumulative Poisson probabilities of 0 to 5
+    steps = [0.367879, 0.735759, 0.919699, 0.981012, 0.99634, 0.999406]
+    weight = sum([(F.col("u") >= F.lit(s)).cast("int") for s in steps[1:]], (F.col("u") >= F.lit(steps[0])).cast("int"))
+    rows = df.select("clk", "prediction", F.posexplode(draws).alias("round", "u")).withColumn("w", weight).filter("w > 0")
+    w = F.col("w")
+    mean = lambda x: F.sum(x * w) / F.sum(w)
+    return rows.groupBy("round").agg(F.sum(w).alias("rows"), mean(_y()).alias("actual_ctr"), mean(_p()).alias("mean_prediction"), mean(log_loss_term(_y(), _p())).alias("logloss"))

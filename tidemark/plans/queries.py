@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import fold, logit
-from tidemark.functions.timeparts import midnight_epoch
+from tidemark.functions.timeparts import midnight_epoch, text_in_two_zones
 from tidemark.operators import base as B
 from tidemark.operators import behavior as W
 from tidemark.operators import calibrate as C
@@ -224,6 +224,27 @@ _WIN = "l: user_raw " + " ".join([*HISTORY_FLAGS, *COUNTS]) + "; t: event_date_b
 query("l: user_raw event_count pv_count cart_count fav_count buy_count last_event_timestamp last_buy_timestamp; t: event_date_bj", "SELECT * FROM daily", "daily_behavior")(daily)
 
 
+@query("s: tbl first last", " UNION ALL ".join(f"SELECT '{n}' AS tbl, " + ", ".join(f"strftime(make_timestamp({f}(time_stamp) * 1000000), '%Y-%m-%d %H:%M:%S') || ' UTC / ' || strftime(make_timestamp({f}(time_stamp) * 1000000) + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') || ' Beijing' AS {c}" for f, c in (("min", "first"), ("max", "last"))) + f" FROM {p}" for n, p in (("raw_sample", "smp"), ("behavior_log", "lg"))))
+def time_ranges(s, d):
+    part = lambda df, n: df.agg(text_in_two_zones(F.min("time_stamp")).alias("first"), text_in_two_zones(F.max("time_stamp")).alias("last")).withColumn("tbl", F.lit(n))
+    return part(X.raw_sample(s, d), "raw_sample").unionByName(part(X.behavior_log(s, d), "behavior_log"))
+
+
+@query("t: first_date last_date; l: dates gaps", "SELECT min(event_date_bj) AS first_date, max(event_date_bj) AS last_date, count(DISTINCT event_date_bj) AS dates, max(event_date_bj) - min(event_date_bj) + 1 - count(DISTINCT event_date_bj) AS gaps FROM daily")
+def date_coverage(s, d):
+    day = F.col("event_date_bj")
+    return daily(s, d).agg(F.min(day).alias("first_date"), F.max(day).alias("last_date"), F.count_distinct(day).alias("dates"), (F.date_diff(F.max(day), F.min(day)) + 1 - F.count_distinct(day)).alias("gaps"))
+
+
+@query("s: check; l: violations", O.checks("base", {"train_dates": "split = 'train' AND NOT event_date_bj BETWEEN DATE '2024-01-15' AND DATE '2024-01-28'", "val_dates": "split = 'val' AND event_date_bj <> DATE '2024-01-29'", "test_dates": "split = 'test' AND event_date_bj <> DATE '2024-01-30'", "unknown_split": "split NOT IN ('train', 'val', 'test', 'out_of_range')"}))
+def split_purity(s, d):
+    day, split = F.col("event_date_bj"), F.col("split")
+    return Q.violations(base(s, d), {
+        "train_dates": (split == "train") & ~day.between(*[F.lit(x) for x in X.TRAIN]), "val_dates": (split == "val") & (day != F.lit(X.VAL)),
+        "test_dates": (split == "test") & (day != F.lit(X.TEST)), "unknown_split": ~split.isin(*X.SPLITS, "out_of_range"),
+    })
+
+
 @query("t: event_date_bj; l: users events buys", "SELECT event_date_bj, count(*) AS users, sum(event_count) AS events, sum(buy_count) AS buys FROM daily GROUP BY 1")
 def daily_totals(s, d):
     return daily(s, d).groupBy("event_date_bj").agg(F.count("*").alias("users"), F.sum("event_count").alias("events"), F.sum("buy_count").alias("buys"))
@@ -472,6 +493,17 @@ def predictions_with_context(s, d):
     return M.checked_join(scored, base(s, d).select("impression_id", "clk", "split"))
 
 
+@query("s: split bucket; " + _MET, O.all_metrics("(SELECT pred.*, pred.split || '/' || CASE WHEN user_past_impressions = 0 THEN '0' WHEN user_past_impressions < 10 THEN '1-9' WHEN user_past_impressions < 100 THEN '10-99' ELSE '100+' END AS sg FROM pred JOIN past USING (impression_id))", "sg").replace("SELECT m.*", "SELECT split_part(m.sg, '/', 1) AS split, split_part(m.sg, '/', 2) AS bucket, m.*", 1))
+def metrics_by_user_activity(s, d):
+    n = past(s, d).select("impression_id", M.evidence_bucket(F.col("user_past_impressions")).alias("bucket"))
+    return M.metrics(predictions(s, d).join(n, "impression_id"), ["split", "bucket"])
+
+
+@query("l: round rows; d: actual_ctr mean_prediction logloss", None)
+def bootstrap_metrics(s, d):
+    return M.bootstrap(predictions(s, d))
+
+
 # ---- calibration
 
 
@@ -480,6 +512,11 @@ def calibration_fold(s, d):
     return X.raw_sample(s, d).select("impression_id", fold(F.col("impression_id"), 5).alias("fold"))
 
 
+@query("l: user_raw fold", "SELECT DISTINCT \"user\" AS user_raw, CAST((CAST(\"user\" AS UHUGEINT) * CAST('11400714819323198485' AS UHUGEINT)) % CAST('18446744073709551616' AS UHUGEINT) % CAST(5 AS UHUGEINT) AS BIGINT) AS fold FROM smp")
+def user_grouped_folds(s, d):
+    return X.raw_sample(s, d).select(F.col("user").alias("user_raw")).distinct().withColumn("fold", fold(F.col("user_raw"), 5))
+
+
 def _val_test(s, d):
     p = predictions(s, d)
     return p.filter("split = 'val'"), p.filter("split = 'test'")
