@@ -98,11 +98,23 @@ def test_tables(spark, tmp_path):
     assert tables.shuffled(df, "id", 3, 4).count() == 4
 
 
-def test_filters_reach_the_scan(spark):
-    log = fixtures.behavior_log(spark, SMALL)
-    plan = behavior.daily_behavior(log, *fixtures.BEHAVIOR)._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string>" in plan.replace("...", "") or "event_type" in plan
-    assert "Python" not in plan
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    fixtures.behavior_log(spark, SMALL).write.parquet(str(tmp_path / "log"))
+    daily = behavior.daily_behavior(spark.read.parquet(str(tmp_path / "log")), *fixtures.BEHAVIOR)
+    plan = plan_of(daily)
+    assert f"GreaterThanOrEqual(time_stamp,{midnight(fixtures.BEHAVIOR[0])})" in plan and "ReadSchema: struct<user:bigint,time_stamp:bigint,btag:string>" in plan
+    assert plan.count("Exchange hashpartitioning") == 1 and "partial_count" in plan
+
+
+def test_all_frames_share_one_sort(spark):
+    daily = plans.daily(spark, SMALL)
+    keys = daily.select("user_raw", "event_date_bj")
+    plan = plan_of(behavior.behavior_windows(daily, keys))
+    assert plan.count("- Window [") + plan.count("Window [") <= 2 and "Python" not in plan and "Cartesian" not in plan
 
 
 # ---- point in time
