@@ -68,14 +68,18 @@ def test_empty(spark):
     assert simhash.simhash_components(df).count() == 0
 
 
-@pytest.mark.parametrize("block", [8, 2048])
-def test_dense_group_over_blocks(spark, block):
+def test_shared_segments():
+    assert [simhash.shared_segments(n) for n in (0, 10**5, 10**7, 10**9, 10**10)] == [2, 2, 2, 3, 4]
+
+
+@pytest.mark.parametrize("block,shared", [(8, 2), (2048, 2), (64, 3), (2048, 4)])
+def test_dense_group_over_blocks(spark, block, shared):
     base = 0x0123456789ABCDEF
     rng = random.Random(1)
     fps = {base} | {base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(400)} | {rng.getrandbits(64) for _ in range(400)}
     signed = np.array(sorted(fps), dtype=np.uint64).view(np.int64)
     df = spark.createDataFrame([(int(x),) for x in signed], "fp long")
-    links = simhash.fingerprint_links(df, block=block)
+    links = simhash.fingerprint_links(df, block=block, shared=shared)
     pairs = {(r.a, r.b) for r in links.collect()}
     near = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1") <= 3
     assert all(near(a, b) for a, b in pairs)

@@ -5,11 +5,12 @@ fingerprints at distance d differ by at most d in every coordinate, so a pair wh
 coordinate difference exceeds the limit is discarded; the others are verified exactly.
 
 Two kinds of reference serve this. Sixteen full-width references discard pairs. Before that,
-references confined to a segment of the word decide who is compared at all: with ``SEGMENTS``
-= limit + 2 segments, two fingerprints within the limit agree wholly on at least two of them,
-that is, their distances to every reference on those two segments are equal. An equi-join key
-made of two segments therefore meets every pair to be linked (ten tables for a limit of 3)
-and no n-squared comparison is made.
+references confined to a segment of the word decide who is compared at all: with limit + s
+segments, two fingerprints within the limit agree wholly on at least s of them, that is, their
+distances to every reference on those segments are equal. A key made of s segments therefore
+meets every pair to be linked, over as many tables as there are choices of s (ten for a limit
+of 3 and s = 2), and no n-squared comparison is made. ``s`` grows with the number of
+fingerprints so that chance seldom puts two of them under one key; the result is the same.
 
 Keys shared by many fingerprints are dealt out as pairs of bounded blocks. Within a group only
 links of a spanning forest are emitted, as many as members at most: they give the same
@@ -72,18 +73,26 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("fp", simhash(F.col(text)))
 
 
-def segment_keys(fp: str, limit: int = LIMIT):
-    """Array of (table, key): the values of two of limit + 2 segments."""
-    n = limit + 2
+def shared_segments(n: int, limit: int = LIMIT) -> int:
+    """Segments in a key, so that keys have at least two bits more than ``n`` fingerprints ask for."""
+    s = 2
+    while s < 6 and 64 * s / (limit + s) < np.log2(max(1, n)) + 2:
+        s += 1
+    return s
+
+
+def segment_keys(fp: str, limit: int = LIMIT, shared: int = 2):
+    """Array of (tab, key): the values of each choice of ``shared`` of limit + shared segments."""
+    n = limit + shared
     cuts = [round(i * 64 / n) for i in range(n + 1)]
     part = [F.shiftrightunsigned(F.col(fp), cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)) for i in range(n)]
-    width = max(b - a for a, b in zip(cuts, cuts[1:]))
-    return F.array(
-        *[
-            F.struct(F.lit(t).alias("tab"), F.shiftleft(part[i], width).bitwiseOR(part[j]).alias("key"))
-            for t, (i, j) in enumerate(combinations(range(n), 2))
-        ]
-    )
+    keys = []
+    for t, chosen in enumerate(combinations(range(n), shared)):
+        key = F.lit(0).cast("long")
+        for i in chosen:
+            key = F.shiftleft(key, cuts[i + 1] - cuts[i]).bitwiseOR(part[i])
+        keys.append(F.struct(F.lit(t).alias("tab"), key.alias("key")))
+    return F.array(*keys)
 
 
 def _near(x: np.ndarray, y: np.ndarray, tx: np.ndarray, ty: np.ndarray, limit: int) -> np.ndarray:
@@ -150,12 +159,12 @@ def _group_ids(pdf: pd.DataFrame) -> np.ndarray:
     return np.cumsum(np.r_[0, (keys[1:] != keys[:-1]).any(axis=1)]) if len(keys) else np.zeros(0, int)
 
 
-def fingerprint_links(distinct: DataFrame, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, limit: int = LIMIT, block: int = BLOCK, shared: int = 2) -> DataFrame:
     """Links ``a``, ``b`` whose components are those of all pairs within ``limit`` bits.
 
     ``distinct`` has one row per fingerprint in ``fp``.
     """
-    keyed = distinct.select("fp", F.explode(segment_keys("fp", limit)).alias("k")).select("fp", "k.tab", "k.key")
+    keyed = distinct.select("fp", F.explode(segment_keys("fp", limit, shared)).alias("k")).select("fp", "k.tab", "k.key")
     hot = (
         keyed.groupBy("tab", "key")
         .count()
@@ -204,7 +213,7 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     marked = materialize(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fp"), "fingerprints")
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "fingerprint-classes")
-    parts = connected_components(fingerprint_links(nodes.select("fp"), limit))
+    parts = connected_components(fingerprint_links(nodes.select("fp"), limit, shared=shared_segments(nodes.count(), limit)))
     labelled = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "least_id", F.coalesce("component", "fp").alias("label"))
     names = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
     by_fp = labelled.join(names, "label").select("fp", "component_id")
