@@ -20,12 +20,16 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import shuffle_partitions
+
 #: Documents of a block.
 BLOCK = 32
 #: Slots of a period, where weights are derived from counts.
 PERIOD = 1000
 #: Documents of a bucket in which ranks are counted, about; a source has as many as it needs.
 BUCKET = 2_000
+#: Documents of a partition of the ordered result, at most about.
+PART = 20_000
 #: Numbers of a period's table up to which it is sent to every executor (8 bytes each).
 BROADCAST_NUMBERS = 2_000_000
 
@@ -134,7 +138,7 @@ def mixed_order(docs: DataFrame, weights: dict[str, int] | None = None, doc_id:
     while position in names:
         position += "_"
     total = docs.select(doc_id).count()
-    parts = max(1, min(total, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+    parts = max(1, min(total, max(shuffle_partitions(docs.sparkSession), -(-total // PART))))
     placed = mix(docs, weights, doc_id, source, position=position)
     part = F.least(F.floor(F.col(position) * parts / max(1, total)), F.lit(parts - 1)).cast("int")
     return placed.repartitionById(parts, part).sortWithinPartitions(position).select(*[F.col(f"`{c}`") for c in names])
