@@ -57,6 +57,9 @@ _BYTES = _rng.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.
 _BYTES[_BLANK] = 0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+_POWERS = np.cumprod(np.r_[np.uint64(1), np.full(4095, _STEP, dtype=np.uint64)], dtype=np.uint64)
+#: Words whose bytes are hashed at once.
+_SLICE = 100_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -81,9 +84,14 @@ class Words:
         if n < window:
             self.valid = np.zeros(0, dtype=bool)
             return
-        place = np.arange(len(data)) - np.repeat(np.r_[0, self.starts], np.diff(np.r_[0, self.starts, len(data)]))
-        powers = np.cumprod(np.r_[np.uint64(1), np.full(int(place.max()), _STEP, dtype=np.uint64)], dtype=np.uint64)
-        words = _mixed(np.add.reduceat(_BYTES[data] * powers[place], self.starts))
+        hashes = np.empty(n, dtype=np.uint64)
+        for i in range(0, n, _SLICE):  # a slice at a time: eight bytes for each byte of text, several times over
+            j = min(n, i + _SLICE)
+            begin, end = self.starts[i], self.starts[j] if j < n else len(data)
+            own = self.starts[i:j] - begin
+            place = np.arange(end - begin) - np.repeat(own, np.diff(np.r_[own, end - begin]))
+            hashes[i:j] = np.add.reduceat(_BYTES[data[begin:end]] * _POWERS[place % len(_POWERS)], own)
+        words = _mixed(hashes)
         grams = np.zeros(n - gram + 1, dtype=np.uint64)
         for j in range(gram):
             grams = grams * _STEP + words[j : n - gram + 1 + j]
