@@ -16,7 +16,7 @@ ENC = bpe.Encoder(bpe.Vocabulary(open(PATH, encoding="utf-8").read()), remembere
 
 def ours(text):
     ids, toks = [], []
-    for _, a, b in ENC.encode([text]):
+    for _, a, b, _ in ENC.encode([text]):
         if a:
             ids.append(a)
             toks.append(b)

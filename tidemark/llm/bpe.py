@@ -34,24 +34,25 @@ WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE_SPACE
 BLANK = regex.compile(f"[{WHITE_SPACE}]")
 
 
-def _recent() -> regex.Pattern:
-    """Characters that Unicode 3.2 didn't have: what they are depends on a library's version."""
-    old, out, begin = unicodedata.ucd_3_2_0, [], None
-    for c in range(0x110001):
-        new = c < 0x110000 and old.category(chr(c)) == "Cn"
-        if new and begin is None:
-            begin = c
-        elif not new and begin is not None:
-            out.append(f"\\U{begin:08x}-\\U{c - 1:08x}")
-            begin = None
-    return regex.compile("[" + "".join(out) + "]")
-
-
-RECENT = _recent()
+_OLD = set(map(chr, range(0x220)))
+
+
+def has_recent(text: str) -> bool:
+    """Whether a text has characters that Unicode 3.2 didn't: what they are depends on a
+    library's version. Characters once found to be old are remembered."""
+    for c in set(text) - _OLD:
+        if unicodedata.ucd_3_2_0.category(c) == "Cn":
+            return True
+        _OLD.add(c)
+    return False
+
+
 #: Characters of text handled at once: of several short texts, or of a piece of a long one.
 CHUNK = 2_000_000
 #: Words whose encodings a worker remembers in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
+#: Documents whose results are held before they are sent on.
+ROWS = 2_000
 
 
 def byte_symbols() -> list[str]:
@@ -90,7 +91,7 @@ class Vocabulary:
             self.rank[made] = rank
         self.inner = {s: i for s, i in self.ids.items() if not s.endswith(self.suffix)}
         self.final = {s[: -len(self.suffix)]: i for s, i in self.ids.items() if s.endswith(self.suffix)}
-        self.longest = max(map(len, [*self.inner, *self.final]))
+        self.inner_lengths, self.final_lengths = self._lengths(self.inner), self._lengths(self.final)
         self._apart: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
         self._symbols = byte_symbols()
@@ -98,6 +99,16 @@ class Vocabulary:
         self._library = Tokenizer.from_str(definition)
         self._split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    @staticmethod
+    def _lengths(tokens: dict[str, int]) -> dict[str, list[int]]:
+        """Lengths, longest first, of the tokens that may end a text with the given last three
+        symbols, or last two where no longer token ends so."""
+        found = {t: {2, 1} for t in tokens if len(t) == 2}
+        for t in tokens:
+            if len(t) > 2:
+                found.setdefault(t[-3:], {2, 1} if t[-2:] in tokens else {1}).add(len(t))
+        return {end: sorted(n, reverse=True) for end, n in found.items()}
+
     def _stay_apart(self, left: int, right: int, bound: int) -> bool:
         """No merge across the boundary comes before the merges that made the two sides."""
         rank, parts = self.rank, self.parts
@@ -140,7 +151,8 @@ class Vocabulary:
         """Each distinct word with its token ids, by a depth-first walk over the trie."""
         symbols = self._symbols
         spelled = sorted(("".join([symbols[b] for b in w.encode("utf-8", "surrogatepass")]), w) for w in words)
-        inner, final, longest, follows, whole = self.inner, self.final, self.longest, self.follows, self.whole
+        inner, final, follows, whole = self.inner, self.final, self.follows, self.whole
+        inner_lengths, final_lengths, single = self.inner_lengths.get, self.final_lengths.get, [1]
         last: list[int] = [0]  # last token of each prefix on the path, by depth
         size: list[int] = [0]
         path = ""
@@ -151,7 +163,9 @@ class Vocabulary:
                 shared += 1
             del last[shared + 1 :], size[shared + 1 :]
             for depth in range(shared + 1, end + 1):
-                for n in range(min(depth, longest), 0, -1):
+                for n in depth > 2 and inner_lengths(text[depth - 3 : depth]) or depth > 1 and inner_lengths(text[depth - 2 : depth]) or single:
+                    if n > depth:
+                        continue
                     t = inner.get(text[depth - n : depth])
                     if t is not None and (n == depth or follows(last[depth - n], t)) and whole(t):
                         last.append(t)
@@ -160,7 +174,9 @@ class Vocabulary:
                 else:
                     raise ValueError(f"the vocabulary can't spell {word!r}")
             path = text[:end]
-            for n in range(min(end + 1, longest), 0, -1):
+            for n in end > 1 and final_lengths(text[-3:]) or end and final_lengths(text[-2:]) or single:
+                if n > end + 1:
+                    continue
                 t = final.get(text[end + 1 - n :])
                 if t is not None and (n == end + 1 or follows(last[end + 1 - n], t)) and whole(t):
                     break
@@ -178,7 +194,7 @@ class Vocabulary:
         for part in self._split.split(text) if self._split else [text]:
             if part in self.special:
                 out.append(part)
-            elif part and not part.isascii() and RECENT.search(part):
+            elif part and not part.isascii() and has_recent(part):
                 # the library's own tables say what its splitter makes of these characters
                 library = self._library
                 for shown, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(part)):
@@ -206,25 +222,26 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED):
         self.vocabulary, self.remembered = vocabulary, remembered
-        self.young: dict[str, tuple[str, str]] = {}
-        self.old: dict[str, tuple[str, str]] = {}
-        for s, i in vocabulary.special.items():
-            self.young[s] = (str(i), s)
+        self.young = self._special()
+        self.old: dict[str, tuple[str, str, bytes]] = {}
+
+    def _special(self) -> dict[str, tuple[str, str, bytes]]:
+        return {s: (str(i), s, i.to_bytes(4, "little")) for s, i in self.vocabulary.special.items()}
 
-    def learn(self, words: set[str]) -> dict[str, tuple[str, str]]:
-        """Ids and token strings, each joined by blanks, of at least these words."""
+    def learn(self, words: set[str]) -> dict[str, tuple[str, str, bytes]]:
+        """Ids and token strings, each joined by blanks, and ids of 4 bytes of at least these words."""
         if len(self.young) > self.remembered:
-            self.old, self.young = self.young, {s: (str(i), s) for s, i in self.vocabulary.special.items()}
+            self.old, self.young = self.young, self._special()
         young, old, strings = self.young, self.old, self.vocabulary.strings
         new = words.difference(young)
         known = {w: old[w] for w in new if w in old}
         young.update(known)
         for w, ids in self.vocabulary.encode_words(new.difference(known)):
-            young[w] = (" ".join(map(str, ids)), " ".join([strings[i] for i in ids]))
+            young[w] = (" ".join(map(str, ids)), " ".join([strings[i] for i in ids]), b"".join([i.to_bytes(4, "little") for i in ids]))
         return young
 
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[int, Iterator[tuple[str, str]]]]:
-        """For each piece of each text in turn: the text's index, its ids and its tokens."""
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, str, bytes]]:
+        """For each piece of each text in turn: the text's index, its ids, tokens and packed ids."""
         waiting, room = [], CHUNK
         for i, text in enumerate(texts):
             for piece in pieces(text or ""):
@@ -239,7 +256,7 @@ class Encoder:
         table = self.learn(set().union(*[w for _, w in waiting]))
         for i, words in waiting:
             pairs = list(map(table.__getitem__, words))
-            yield i, " ".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs])
+            yield i, " ".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs]), b"".join([p[2] for p in pairs])
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -261,15 +278,15 @@ class _Text:
         self.n, self.ids, self.parts = 0, [] if keep_ids else None, [] if keep_text else None
         self.ids_sum, self.text_sum = hashlib.sha256(), hashlib.sha256()
 
-    def add(self, ids: str, tokens: str) -> None:
+    def add(self, ids: str, tokens: str, packed: bytes) -> None:
         if not ids:
             return
         gap = " " if self.n else ""
-        self.n += ids.count(" ") + 1
+        self.n += len(packed) // 4
         self.ids_sum.update((gap + ids).encode())
         self.text_sum.update((gap + tokens).encode())
         if self.ids is not None:
-            self.ids.append(np.fromstring(ids, dtype=np.int32, sep=" "))
+            self.ids.append(np.frombuffer(packed, dtype="<i4"))
         if self.parts is not None:
             self.parts.append(gap + tokens)
 
@@ -299,7 +316,7 @@ def encode_documents(docs: DataFrame, tokenizer_json: str, doc_id: str = "doc_id
 
     def run(batches):
         encoder = _encoder(definition.value)
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             texts = batch.column("text").to_pylist()
             done: list[_Text] = []
             values: dict[str, list] = {c: [] for c in outputs}
@@ -309,13 +326,13 @@ def encode_documents(docs: DataFrame, tokenizer_json: str, doc_id: str = "doc_id
                 for c in outputs:
                     values[c].append(found[c])
 
-            for i, ids, tokens in encoder.encode(texts):
+            for i, ids, tokens, packed in encoder.encode(texts):
                 if len(done) <= i:
                     if done:
                         close(done[-1])
                         done[-1] = None
                     done.append(_Text("ids" in outputs, "decoded" in outputs))
-                done[i].add(ids, tokens)
+                done[i].add(ids, tokens, packed)
             if done:
                 close(done[-1])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(values[c], type=ARROW[c]) for c in outputs]], names=["doc_id", *outputs])
