@@ -473,12 +473,12 @@ def slice_diagnostics(s, d):
     return M.slice_diagnostics(M.equal_count_bins(predictions(s, d), 10, by=["split"]), _SLICES)
 
 
-@query("l: impression_id; d: clipped z", "SELECT impression_id, least(greatest(prediction, 1e-7), 1 - 1e-7) AS clipped, ln(least(greatest(prediction, 1e-7), 1 - 1e-7) / (1 - least(greatest(prediction, 1e-7), 1 - 1e-7))) AS z FROM smp WHERE prediction > 0.0001")
+@query("l: impression_id; d: clipped z", "SELECT impression_id, least(greatest(prediction, 1e-7), 1 - 1e-7) AS clipped, ln(least(greatest(prediction, 1e-7), 1 - 1e-7) / (1 - least(greatest(prediction, 1e-7), 1 - 1e-7))) AS z FROM smp")
 def prediction_logits(s, d):
     from tidemark.functions.scalars import clip
 
     p = F.col("prediction")
-    return X.raw_sample(s, d).filter(p > 0.0001).select("impression_id", clip(p, 1e-7, 1 - 1e-7).alias("clipped"), logit(p).alias("z"))
+    return X.raw_sample(s, d).select("impression_id", clip(p, 1e-7, 1 - 1e-7).alias("clipped"), logit(p).alias("z"))
 
 
 @query("s: check; l: violations", O.checks("smp", {"null": "prediction IS NULL", "nan": "isnan(prediction)", "out_of_range": "prediction < 0 OR prediction > 1"}))
