@@ -266,13 +266,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "
             q = _bytes(_unit(_matrix(b.column("x"), width)))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("v", "x", "least_id", "times")], pa.array([r.tobytes() for r in q], pa.binary())], names=["v", "x", "least_id", "times", "q"])
 
-    # equal vectors are one node; its number is a hash of the vector, checked for clashes below
+    # equal vectors are one node, numbered by its smallest id; where two vectors have one id, by
+    # a hash of the vector
     classes = good.groupBy("x").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("times"))
-    numbered = classes.select(F.xxhash64("x").alias("v"), "x", "least_id", "times")
-    nodes = materialize(numbered.mapInArrow(quantise, "v long, x array<double>, least_id long, times long, q binary"), "nodes")
-    size, numbers = nodes.agg(F.count("*"), F.count_distinct("v")).first()
-    if size != numbers:
-        raise ValueError("two vectors share a 64-bit hash")
+    for number in (F.col("least_id"), F.xxhash64("x"), F.xxhash64("x", F.lit(1))):
+        numbered = classes.select(number.alias("v"), "x", "least_id", "times")
+        nodes = materialize(numbered.mapInArrow(quantise, "v long, x array<double>, least_id long, times long, q binary"), "nodes")
+        size, numbers = nodes.agg(F.count("*"), F.count_distinct("v")).first()
+        if size == numbers:
+            break
+    else:
+        raise ValueError("vectors share ids and hashes")
     for _ in range(ATTEMPTS):
         graph = neighbour_graph(nodes, width, size, k, trees)
         pairs = graph.filter(F.col("sim") >= threshold - SLACK).select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct()
