@@ -58,6 +58,23 @@ def test_against_brute_force(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def clumps(rng):
+    """Two tight clumps whose members are all linked to each other, with far vectors around."""
+    a, b = np.eye(64)[:2]
+    b = 0.972 * a + np.sqrt(1 - 0.972**2) * b
+    near = lambda c: c + 0.0055 * rng.normal(size=64)
+    return [(i, f32(near(a if i % 2 else b))) for i in range(120)] + [(i, f32(rng.normal(size=64))) for i in range(120, 1500)]
+
+
+def test_tight_clumps_linked_only_to_each_other(spark):
+    rows = clumps(np.random.default_rng(6))
+    u = np.array([v for _, v in rows[:120]])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    sims = u @ u.T
+    assert sims[::2, 1::2].min() >= 0.95 and sims[::2, ::2].min() > sims[::2, 1::2].max() < sims[1::2, 1::2].min()
+    assert run(spark, rows) == brute(rows)
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, [1.0, 0.0])], [(2, [1.0, 0.0]), (1, [2.0, 0.0]), (3, [0.0, 1.0])]])
 def test_small(spark, rows):
     assert run(spark, rows) == brute(rows)

@@ -7,15 +7,19 @@ a list where it beats that list's last. Vectors travel to these joins as bytes;
 verified in double precision.
 
 Threshold edges of the graph give components. Where a list is saturated, all its entries being
-links, it may lack some; it is enlarged to all members of its component, which are compared in
-blocks and counted. A link joins members of one component, so link counts are exact once the
-graph connects what belongs together. An audit compares a sample with every vector; while the
+links, it may lack some, in its own component and outwards. Outwards, nodes with saturated lists
+get a second graph whose lists hold members of other components alone; its links merge
+components, and this is repeated until there are none. Inwards, a list is enlarged to all members
+of its component, which are compared in blocks and counted. A link joins members of one
+component, so link counts are exact once the graph connects what belongs together. An audit compares a sample with every vector; while the
 recall of its links is below the target, the graph is built again with longer lists and more
 trees.
 """
 
 from __future__ import annotations
 
+from itertools import count as count_from
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -81,24 +85,26 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return once.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r")
 
 
-def leaves(nodes: DataFrame, width: int, n: int, trees: int, k: int) -> DataFrame:
-    """First neighbours: the best within leaves of ``trees`` random hyperplane trees."""
+def leaves(nodes: DataFrame, width: int, n: int, trees: int, k: int, apart: bool = False, seed: int = 91) -> DataFrame:
+    """First neighbours: the best within leaves of ``trees`` random hyperplane trees, those of
+    another ``component`` alone if ``apart``."""
+    label = ["component"] if apart else []
     depth = max(0, min(30, int(np.ceil(np.log2(max(1, n / LEAF))))))
 
     def place(batches):
-        rng = np.random.default_rng(91)
+        rng = np.random.default_rng(seed)
         planes = rng.normal(size=(trees, depth, width)).astype(np.float32)
         weights = 1 << np.arange(depth, dtype=np.int64)
         for b in batches:
             x = _rows(b.column("q"), width)
             for t in range(trees):
                 leaf = ((x @ planes[t].T > 0) * weights).sum(axis=1).astype(np.int64) + (t << 32)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), b.column("v"), b.column("q")], names=["leaf", "v", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), *[b.column(c) for c in ["v", "q", *label]]], names=["leaf", "v", "q", *label])
 
-    dealt = nodes.select("v", "q").mapInArrow(place, "leaf long, v long, q binary")
+    dealt = nodes.select("v", "q", *label).mapInArrow(place, "leaf long, v long, q binary" + (", component long" if apart else ""))
     blocks = dealt.groupBy("leaf").agg(F.ceil(F.count("*") / LEAF_MOST).alias("blocks")).filter("blocks > 1")
     key = F.xxhash64("leaf", F.pmod(F.xxhash64("v"), F.coalesce("blocks", F.lit(1))))
-    ready = hash_split(dealt.join(blocks, "leaf", "left").select(key.alias("key"), "v", "q"), "key").sortWithinPartitions("key")
+    ready = hash_split(dealt.join(blocks, "leaf", "left").select(key.alias("key"), "v", "q", *label), "key").sortWithinPartitions("key")
 
     def compare(batches):
         for table, cuts in whole_groups(batches, "key"):
@@ -109,31 +115,45 @@ def leaves(nodes: DataFrame, width: int, n: int, trees: int, k: int) -> DataFram
                     continue
                 sims = x[a:b] @ x[a:b].T
                 np.fill_diagonal(sims, -2)
+                if apart:
+                    own = table.column("component").to_numpy()[a:b]
+                    sims[own[:, None] == own[None, :]] = -2
                 m = min(k, b - a - 1)
                 best = np.argpartition(-sims, m - 1, axis=1)[:, :m]
-                out[0].append(np.repeat(ids[a:b], m))
-                out[1].append(ids[a:b][best].ravel())
-                out[2].append(np.take_along_axis(sims, best, axis=1).ravel())
+                sim = np.take_along_axis(sims, best, axis=1).ravel()
+                some = sim > -2
+                out[0].append(np.repeat(ids[a:b], m)[some])
+                out[1].append(ids[a:b][best].ravel()[some])
+                out[2].append(sim[some])
             if out[0]:
                 yield _edges(*[np.concatenate(c) for c in out])
 
     return ready.mapInArrow(compare, _EDGES).withColumn("new", F.lit(1))
 
 
-def descend(nodes: DataFrame, graph: DataFrame, width: int, k: int, turn: int) -> DataFrame:
-    """One round: neighbours of neighbours through every node."""
+def descend(nodes: DataFrame, graph: DataFrame, width: int, k: int, turn: int, own: DataFrame | None = None) -> DataFrame:
+    """One round: neighbours of neighbours through every node.
+
+    With ``own``, a graph within components, pairs of different components alone are taken; they
+    meet at a node through its neighbours in both graphs.
+    """
+    apart = own is not None
+    label = ["component"] if apart else []
     named = graph.select(F.col("u").alias("p"), F.col("v").alias("m"), "new")
     some = Window.partitionBy("p").orderBy(F.desc("new"), F.xxhash64("m", F.lit(turn)))
     back = named.withColumn("r", F.row_number().over(some)).filter(F.col("r") <= k).drop("r")
     around = graph.select(F.col("v").alias("p"), F.col("u").alias("m"), "new").unionByName(back)
+    if apart:
+        around = around.unionByName(own.select(F.col("v").alias("p"), F.col("u").alias("m"), F.lit(0).alias("new")))
     around = around.groupBy("p", "m").agg(F.max("new").alias("new"))
     last = graph.groupBy("v").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("last"))
-    known = nodes.select("v", "q").join(last, "v").select(F.col("v").alias("m"), "q", "last")
-    ready = hash_split(around.join(known, "m").select("p", "m", "new", "q", "last"), "p").sortWithinPartitions("p")
+    known = nodes.select("v", "q", *label).join(last, "v", "left" if apart else "inner").select(F.col("v").alias("m"), "q", *label, F.coalesce("last", F.lit(-2.0).cast("float")).alias("last"))
+    ready = hash_split(around.join(known, "m").select("p", "m", "new", "q", "last", *label), "p").sortWithinPartitions("p")
 
     def join(batches):
         for table, cuts in whole_groups(batches, "p"):
             ids, new, last = (table.column(c).to_numpy() for c in ("m", "new", "last"))
+            group = table.column("component").to_numpy() if apart else None
             x, sizes = _rows(table.column("q"), width), np.diff(cuts)
             out = [[], [], []]
             for size in np.unique(sizes[sizes > 1]):  # groups of one size together
@@ -143,6 +163,8 @@ def descend(nodes: DataFrame, graph: DataFrame, width: int, k: int, turn: int) -
                     sims = x[at] @ x[at].transpose(0, 2, 1)
                     fresh = new[at].astype(bool)
                     use = (fresh[:, :, None] | fresh[:, None, :]) & (sims > last[at][:, :, None])
+                    if apart:
+                        use &= group[at][:, :, None] != group[at][:, None, :]
                     use[:, np.arange(size), np.arange(size)] = False
                     g, i, j = np.nonzero(use)
                     out[0].append(ids[at[g, i]])
@@ -155,11 +177,12 @@ def descend(nodes: DataFrame, graph: DataFrame, width: int, k: int, turn: int) -
     return _best(graph.withColumn("new", F.lit(0)).unionByName(found), k)
 
 
-def neighbour_graph(nodes: DataFrame, width: int, n: int, k: int, trees: int, rounds: int = ROUNDS) -> DataFrame:
-    """``v``, ``u``, ``sim``, ``new``: lists of up to ``k`` near neighbours."""
-    graph = materialize(_best(leaves(nodes, width, n, trees, k), k), "graph")
+def neighbour_graph(nodes: DataFrame, width: int, n: int, k: int, trees: int, rounds: int = ROUNDS, own: DataFrame | None = None, seed: int = 91) -> DataFrame:
+    """``v``, ``u``, ``sim``, ``new``: lists of up to ``k`` near neighbours, with ``own`` of other
+    components alone."""
+    graph = materialize(_best(leaves(nodes, width, n, trees, k, own is not None, seed), k), "graph")
     for turn in range(rounds):
-        graph = materialize(descend(nodes, graph, width, k, turn), "graph")
+        graph = materialize(descend(nodes, graph, width, k, turn, own), "graph")
         if (graph.agg(F.sum("new")).first()[0] or 0) <= 0.001 * k * n:
             break
     return graph
@@ -178,6 +201,34 @@ def verified(nodes: DataFrame, pairs: DataFrame, width: int, threshold: float) -
     return pairs.join(one, "a").join(two, "b").select("a", "b", "xa", "xb").mapInArrow(check, "a long, b long")
 
 
+def _close(graph: DataFrame, threshold: float) -> DataFrame:
+    return graph.filter(F.col("sim") >= threshold - SLACK).select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct()
+
+
+def linked_members(nodes: DataFrame, graph: DataFrame, width: int, threshold: float, k: int, trees: int) -> DataFrame:
+    """``node``, ``component`` of all nodes with a link.
+
+    A link that is in neither of its nodes' lists is between two saturated ones, so these alone
+    are searched for links to other components. Every turn but the last merges components.
+    """
+    members = materialize(connected_components(verified(nodes, _close(graph, threshold), width, threshold)), "members")
+    lists = graph.groupBy("v").agg(F.count("*").alias("n"), F.min("sim").alias("last"))
+    full = materialize(lists.filter((F.col("n") >= k) & (F.col("last") >= threshold - SLACK)).select("v"), "saturated")
+    own = graph.join(full, "v", "left_semi").join(full.select(F.col("v").alias("u")), "u", "left_semi").select("v", "u")
+    for turn in count_from(1):
+        labels = members.select(F.col("node").alias("v"), "component")
+        some = materialize(nodes.join(full, "v", "left_semi").join(labels, "v", "left").select("v", "q", F.coalesce("component", "v").alias("component")), "saturated")
+        n, groups = some.agg(F.count("*"), F.count_distinct("component")).first()
+        if groups < 2:
+            break
+        outwards = neighbour_graph(some, width, n, k, trees, own=own, seed=91 + turn)
+        found = materialize(verified(nodes, _close(outwards, threshold), width, threshold), "outward-links")
+        if found.isEmpty():
+            break
+        members = materialize(connected_components(found.unionByName(members.select(F.col("node").alias("a"), F.col("component").alias("b")))), "members")
+    return members
+
+
 def link_counts(nodes: DataFrame, members: DataFrame, width: int, threshold: float) -> DataFrame:
     """``v``, ``links``: vectors within the threshold among each node's component.
 
@@ -279,8 +330,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "
         raise ValueError("vectors share ids and hashes")
     for _ in range(ATTEMPTS):
         graph = neighbour_graph(nodes, width, size, k, trees)
-        pairs = graph.filter(F.col("sim") >= threshold - SLACK).select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct()
-        members = materialize(connected_components(verified(nodes, pairs, width, threshold)), "members")
+        members = linked_members(nodes, graph, width, threshold, k, trees)
         counts = materialize(link_counts(nodes, members, width, threshold), "link-counts")
         if audit(nodes, counts, width, threshold) >= recall:
             break
