@@ -75,6 +75,31 @@ def test_tight_clumps_linked_only_to_each_other(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_blocks_of_a_large_leaf_meet(spark, monkeypatch):
+    """Nodes of a leaf meet other nodes in other trees, and blocks share nodes in each."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.components import connected_components
+
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=16)
+    q = [neardup._bytes(neardup._unit((base * s + 1e-3 * rng.normal(size=16))[None, :]))[0].tobytes() for s in rng.uniform(1, 9, 1100)]
+    nodes = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(q)], "v long, q binary")
+    monkeypatch.setattr(neardup, "LEAF", 1100)  # one leaf a tree
+    for trees, k in [(1, 1100), (6, 1100)]:
+        met = neardup.leaves(nodes, 16, 1100, trees, k).select("v", "u").distinct().cache()
+        members = connected_components(met, "v", "u").agg(F.count("*"), F.count_distinct("component")).first()
+        assert tuple(members) == (1100, 1)
+    assert met.groupBy("v").count().agg(F.min("count")).first()[0] > 2 * neardup.LEAF_MOST
+
+
+def test_scaled_copies(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=16)
+    rows = [(i, f32(base * s)) for i, s in enumerate(rng.uniform(1, 9, 1100))] + [(i, f32(rng.normal(size=16))) for i in range(1100, 2000)]
+    assert run(spark, rows) == brute(rows)
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, [1.0, 0.0])], [(2, [1.0, 0.0]), (1, [2.0, 0.0]), (3, [0.0, 1.0])]])
 def test_small(spark, rows):
     assert run(spark, rows) == brute(rows)

@@ -34,6 +34,8 @@ TREES = 10
 ROUNDS = 5
 #: Nodes of a tree's leaf that are compared at once, about, and at most.
 LEAF, LEAF_MOST = 96, 256
+#: Nodes of a larger leaf that are in each of its blocks, about.
+SHARED = 16
 #: Members of a component that are compared as one block.
 BLOCK = 512
 #: Nodes compared with all others by the audit, and links they must have in common with it.
@@ -102,9 +104,13 @@ def leaves(nodes: DataFrame, width: int, n: int, trees: int, k: int, apart: bool
                 yield pa.RecordBatch.from_arrays([pa.array(leaf), *[b.column(c) for c in ["v", "q", *label]]], names=["leaf", "v", "q", *label])
 
     dealt = nodes.select("v", "q", *label).mapInArrow(place, "leaf long, v long, q binary" + (", component long" if apart else ""))
-    blocks = dealt.groupBy("leaf").agg(F.ceil(F.count("*") / LEAF_MOST).alias("blocks")).filter("blocks > 1")
-    key = F.xxhash64("leaf", F.pmod(F.xxhash64("v"), F.coalesce("blocks", F.lit(1))))
-    ready = hash_split(dealt.join(blocks, "leaf", "left").select(key.alias("key"), "v", "q", *label), "key").sortWithinPartitions("key")
+    # blocks of a leaf differ from tree to tree, and a few of its nodes are in all of them
+    large = dealt.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > LEAF_MOST)
+    large = large.select("leaf", F.ceil(F.col("n") / LEAF_MOST).alias("blocks"), F.ceil(F.col("n") / SHARED).alias("share"))
+    shared = F.pmod(F.xxhash64("v", "leaf", F.lit(1)), F.col("share")) == 0
+    block = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).when(shared, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("v", "leaf"), F.col("blocks"))))
+    placed = dealt.join(large, "leaf", "left").select("leaf", F.explode(block).alias("block"), "v", "q", *label)
+    ready = hash_split(placed.select(F.xxhash64("leaf", "block").alias("key"), "v", "q", *label), "key").sortWithinPartitions("key")
 
     def compare(batches):
         for table, cuts in whole_groups(batches, "key"):
