@@ -36,6 +36,29 @@ def test_detect_and_replace(text, kinds):
     assert pii.replace(MAKE, text) == (new, spans)
 
 
+@pytest.mark.parametrize("head", ["author:", "contact=", "<b>", "1.", "(see/", "\u2014", "\u2018", "x|", "\u00ab(", ""])
+def test_names_after_any_sign(head):
+    for text in (f"{head}Mary Smith</b>", f"by {head}Mary Smith", f"{head}Mrs. Smith."):
+        new, spans = pii.replace(MAKE, text)
+        assert spans and "Smith" not in new and "Mary" not in new
+        assert pii.replace(MAKE, text + ", Anna Klein")[0].startswith(new)  # as where another name is
+
+
+@pytest.mark.parametrize("text,kinds", [
+    ("host 2001:db8::1 up", ["ipv6"]), ("fe80::1ff:fe23:4567:890a.", ["ipv6"]), ("[::1]:80", ["ipv6"]), ("dead:beef::cafe", ["ipv6"]), ("call 555 123 4567.", ["phone"]), ("aa:bb:cc:dd:ee:ff", ["mac"]),
+    ("std::vector a::b A::B :: 1:2::3::4", []), ("4111 1111 1111 1111", ["card"]), ("2001:0DB8:0:0:0:0:0:1", ["ipv6"]),
+])
+def test_more_formats(text, kinds):
+    assert [k for _, _, k in pii.detect(text)] == kinds
+    new, _ = pii.replace(MAKE, text)
+    assert [k for _, _, k in pii.detect(new)] == kinds and (new == text) == (not kinds)
+
+
+def test_spellings_of_an_address():
+    same = ["2001:db8::1", "2001:0db8:0:0:0:0:0:1", "2001:0db8::0001"]
+    assert len({pii.surrogate(MAKE, "ipv6", s) for s in same}) == len({pii.canonical("ipv6", s) for s in same}) == 1
+
+
 def test_format_gender_and_script():
     for kind, s in [("phone", "+49 (030) 555-1234"), ("card", "4111 1111 1111 1111"), ("ssn", "123-45-6789"), ("secret", "Ab9_xyZ-12")]:
         t = pii.surrogate(MAKE, kind, s)

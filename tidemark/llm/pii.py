@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Callable
 from functools import lru_cache
@@ -67,19 +68,24 @@ DIGITAL = re.compile(
       |(?P<secret>\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_\w{20,}|sk-[\w-]{16,}|xox[abprs]-[\w-]{10,}|eyJ[\w-]+\.[\w-]+\.[\w-]+)
          |\b[0-9a-f]{32,}\b|\b[0-9A-F]{32,}\b)
       |(?P<mac>\b[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}\b)
-      |(?P<ipv6>(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:]))
+      |(?P<ipv6>(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}
+         |(?=[\w:]*\d|(?:\w+:+){2}\w)(?:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?))(?![\w:]|\.\d))
       |(?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[0-9A-Z]{4}){3,7}(?:[ ]?[0-9A-Z]{1,3})?\b)
       |(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d))
       |(?P<phone>(?<![\w+])(?:\+|00)\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?|\d{1,5}[ .-])\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)
          |(?<![\w+])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])|(?<![\w+])\+\d{8,15}(?!\d))
       |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
-      |(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))""",
+      |(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))
+      |(?P<spaced>(?<![\w.-])\d{3}[ ]\d{3}[ ]\d{4}(?![\w-]))""",
     re.VERBOSE,
 )
 NAMED_SECRET = re.compile(r"""(?i)\b(?:token|secret|password|passwd|pwd|api[ _-]?key|access[ _-]?key|secret[ _-]?key|private[ _-]?key|auth)\b["']?[ \t]*[=:][ \t]*["']?(?P<secret>[^\s"'<>,;]{6,})""")
 _GIVEN_WORDS = sorted({n for v in GIVEN.values() for n in v}, key=lambda n: (-len(n), n))
 PERSON = re.compile(rf"(?<!\w)(?:(?P<title>(?:{'|'.join(TITLES)})\.?)[ ](?P<a>{CAP})(?:[ ](?P<b>{CAP}))?|(?P<c>{'|'.join(_GIVEN_WORDS)})[ ](?P<d>{CAP}))(?!\w)")
-_TRIGGERS = frozenset([*TITLES, *(f"{t}." for t in TITLES), *_GIVEN_WORDS])
+_TRIGGERS = frozenset([*TITLES, *_GIVEN_WORDS])
+_WORDS = re.compile(r"\w+")
+#: What may be an address without any digit.
+_LETTER_HEX = re.compile(r"[A-Fa-f]::|::[A-Fa-f]|\b[A-Fa-f]{2}([:-])[A-Fa-f]{2}\1")
 _KEY_STARTS = ("AKIA", "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "sk-", "xox", "eyJ")
 _KEY_HEAD = re.compile(r"AKIA|gh[pousr]_|sk-|xox[abprs]-|eyJ|")
 _DIGIT = re.compile(r"\d")
@@ -177,6 +183,9 @@ def surrogate(make: Surrogates, kind: str, s: str) -> str:
         octets = [int(x) for x in s.split(".")]
         y = make.number(int.from_bytes(bytes(octets), "big"), 1 << 32, kind)
         return ".".join(str(b) for b in y.to_bytes(4, "big"))
+    if kind == "ipv6":  # spellings of one address have one surrogate, written in full
+        y = make.number(int(ipaddress.IPv6Address(s)), 1 << 128, kind)
+        return _recased(s, ":".join(f"{y >> at & 0xFFFF:x}" for at in range(112, -1, -16)))
     if kind == "card":
         valid = luhn(s)
         return make.string(s, f"card{valid}", lambda t: luhn(t) == valid)
@@ -185,7 +194,7 @@ def surrogate(make: Surrogates, kind: str, s: str) -> str:
         return head + make.string(s[len(head) :], "phone" + head)
     if kind == "iban":
         return s[:2] + make.string(s[2:], "iban" + s[:2])
-    if kind in ("mac", "ipv6") or kind == "secret" and re.fullmatch("[0-9a-f]+|[0-9A-F]+", s):
+    if kind == "mac" or kind == "secret" and re.fullmatch("[0-9a-f]+|[0-9A-F]+", s):
         return make.string(s, kind, hexadecimal=True)
     if kind == "secret":  # the start that tells whose key it is stays
         head = _KEY_HEAD.match(s)[0]
@@ -212,15 +221,24 @@ def _name(make: Surrogates, kind: str, s: str) -> str:
     return _recased(s, make.string(plain, kind, lambda t: t.casefold() not in listed))
 
 
+def _address(s: str) -> bool:
+    try:
+        return bool(int(ipaddress.IPv6Address(s)))
+    except ValueError:
+        return False
+
+
 def detect(text: str) -> list[tuple[int, int, str]]:
     """Start, end and kind of the entities of a text, in order and apart from each other."""
     found = []
     if "=" in text or ":" in text:
         found += [(*m.span("secret"), "secret") for m in NAMED_SECRET.finditer(text)]
-    if "@" in text or _DIGIT.search(text) or any(x in text for x in _KEY_STARTS):
-        found += [(*m.span(), m.lastgroup) for m in DIGITAL.finditer(text)]
-    words = set(text.split())
-    if not _TRIGGERS.isdisjoint(words) or any(w.strip("\"'([{<„“«¿¡*_-").split(".")[0] in _TRIGGERS for w in words if not w[0].isalnum()):
+    if "@" in text or _DIGIT.search(text) or any(x in text for x in _KEY_STARTS) or _LETTER_HEX.search(text):
+        for m in DIGITAL.finditer(text):
+            if m.lastgroup != "ipv6" or _address(m[0]):
+                found.append((*m.span(), "phone" if m.lastgroup == "spaced" else m.lastgroup))
+    # PERSON begins at the start of a word with one of these, which a blank or a stop ends
+    if not _TRIGGERS.isdisjoint(_WORDS.findall(text)):
         for m in PERSON.finditer(text):
             if m["c"]:
                 found += [(*m.span("c"), "given"), (*m.span("d"), "surname")]
@@ -254,6 +272,8 @@ def canonical(kind: str, s: str) -> str:
         return s.casefold()
     if kind == "ip":
         return ".".join(str(int(x)) for x in s.split("."))
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(s).exploded
     return s
 
 
