@@ -100,6 +100,21 @@ def test_scaled_copies(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_all_are_compared_when_attempts_fail(spark, monkeypatch):
+    """A hot component that is found doesn't hide pairs that are lost."""
+    monkeypatch.setattr(neardup, "BLOCK", 64)
+    monkeypatch.setattr(neardup, "ATTEMPTS", 1)
+    rng = np.random.default_rng(10)
+    hot = rng.normal(size=32)
+    rows = [(i, f32(hot + 0.05 * rng.normal(size=32))) for i in range(100)]
+    for i in range(100, 160, 2):
+        base = rng.normal(size=32)
+        rows += [(i + j, f32(base + 0.05 * rng.normal(size=32))) for j in range(2)]
+    whole = neardup.linked_members
+    monkeypatch.setattr(neardup, "linked_members", lambda *a: whole(*a).filter("node < 100"))
+    assert run(spark, rows) == brute(rows)
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, [1.0, 0.0])], [(2, [1.0, 0.0]), (1, [2.0, 0.0]), (3, [0.0, 1.0])]])
 def test_small(spark, rows):
     assert run(spark, rows) == brute(rows)

@@ -11,9 +11,11 @@ links, it may lack some, in its own component and outwards. Outwards, nodes with
 get a second graph whose lists hold members of other components alone; its links merge
 components, and this is repeated until there are none. Inwards, a list is enlarged to all members
 of its component, which are compared in blocks and counted. A link joins members of one
-component, so link counts are exact once the graph connects what belongs together. An audit compares a sample with every vector; while the
-recall of its links is below the target, the graph is built again with longer lists and more
-trees.
+component, so link counts are exact once the graph connects what belongs together.
+
+An audit compares random nodes and nodes with close pairs with every vector; while the mean
+recall of their links is below the target, the graph is built again with longer lists and more
+trees. If the last attempt is below it too, all nodes are compared with each other.
 """
 
 from __future__ import annotations
@@ -38,7 +40,9 @@ LEAF, LEAF_MOST = 96, 256
 SHARED = 16
 #: Members of a component that are compared as one block.
 BLOCK = 512
-#: Nodes compared with all others by the audit, and links they must have in common with it.
+#: Nodes of each kind compared with all others by the audit, at least and at most, and the share
+#: of a node's links that must be found, on average.
+AUDITED_MOST = 1024
 AUDITED, RECALL, ATTEMPTS = 128, 0.99, 3
 #: Edges this far below the threshold by bytes are still verified.
 SLACK = 0.03
@@ -73,6 +77,7 @@ def _rows(column, width: int) -> np.ndarray:
     return x / np.sqrt((x**2).sum(axis=1, keepdims=True))
 
 
+_NO_NODE = np.iinfo(np.int64).max
 _EDGES = "v long, u long, sim float"
 
 
@@ -236,10 +241,16 @@ def linked_members(nodes: DataFrame, graph: DataFrame, width: int, threshold: fl
 
 
 def link_counts(nodes: DataFrame, members: DataFrame, width: int, threshold: float) -> DataFrame:
-    """``v``, ``links``: vectors within the threshold among each node's component.
+    """``v``, ``links``: vectors within the threshold among each node's component."""
+    return _compared(nodes, members, width, threshold).groupBy("v").agg(F.sum("links").alias("links"))
+
+
+def _compared(nodes: DataFrame, members: DataFrame, width: int, threshold: float, roots: bool = False) -> DataFrame:
+    """``v``, ``links``, ``root``: for each node and pair of blocks, the vectors linked with it.
 
     ``members`` has ``node`` and ``component``. Blocks of a component meet in pairs; a pair of
-    blocks emits a count for each node and never a pair of nodes.
+    blocks emits a count for each node and never a pair of nodes. With ``roots``, ``root`` is a
+    node of the pair of blocks that is reachable in it, the same for all that reach it.
     """
     sized = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -256,25 +267,49 @@ def link_counts(nodes: DataFrame, members: DataFrame, width: int, threshold: flo
         for table, cuts in whole_groups(batches, "key"):
             ids, times, own, other = (table.column(c).to_numpy() for c in ("node", "times", "own", "other"))
             u = _unit(_matrix(table.column("x"), width))
-            links = np.zeros(len(ids), dtype=np.int64)
+            links, root = np.zeros(len(ids), dtype=np.int64), ids.copy()
             for a, b in zip(cuts[:-1], cuts[1:]):
                 low = own[a:b] <= other[a:b]  # one block of the pair; the same rows if it meets itself
                 if (own[a:b] == other[a:b]).all():
                     near = u[a:b] @ u[a:b].T >= threshold
                     np.fill_diagonal(near, False)
                     links[a:b] = near @ times[a:b]
+                    i = j = np.arange(a, b)
                 else:
                     i, j = a + np.flatnonzero(low), a + np.flatnonzero(~low)
                     near = u[i] @ u[j].T >= threshold
                     links[i], links[j] = near @ times[j], near.T @ times[i]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links)], names=["v", "links"])
+                while roots and near.any():  # the smallest node reachable
+                    low = np.minimum(root[i], np.where(near, root[j][None, :], _NO_NODE).min(axis=1))
+                    was = root[a:b].copy()
+                    root[i] = low
+                    root[j] = np.minimum(root[j], np.where(near, root[i][:, None], _NO_NODE).min(axis=0))
+                    if (root[a:b] == was).all():
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(root)], names=["v", "links", "root"])
+
+    return ready.mapInArrow(count, "v long, links long, root long")
+
 
-    return ready.mapInArrow(count, "v long, links long").groupBy("v").agg(F.sum("links").alias("links"))
+def all_compared(nodes: DataFrame, width: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Members and link counts from all pairs of nodes: exact, and quadratic in their number."""
+    one = nodes.select(F.col("v").alias("node"), F.lit(0).cast("long").alias("component"))
+    found = materialize(_compared(nodes, one, width, threshold, roots=True).filter("links > 0"), "all-compared")
+    members = materialize(connected_components(found.select(F.col("v").alias("a"), F.col("root").alias("b"))), "members")
+    return members, found.groupBy("v").agg(F.sum("links").alias("links"))
 
 
-def audit(nodes: DataFrame, counts: DataFrame, width: int, threshold: float, sample: int = AUDITED) -> float:
-    """Share of the links of a sample, found by comparing it with every node, that are counted."""
-    chosen = nodes.orderBy(F.xxhash64("v"), "v").limit(sample).select("v", "x").toArrow()
+def audit(nodes: DataFrame, counts: DataFrame, width: int, threshold: float, close: DataFrame | None = None, sample: int = AUDITED) -> float:
+    """Mean share of a node's links, found by comparing it with every node, that are counted.
+
+    Takes random nodes and as many of those in ``close``, a table of pairs ``a``, ``b``. Of
+    nodes without a link there is nothing to find.
+    """
+    chosen = nodes.orderBy(F.xxhash64("v"), "v").limit(sample).select("v")
+    if close is not None:
+        ends = close.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+        chosen = chosen.unionByName(ends.orderBy(F.xxhash64("v"), "v").limit(sample)).distinct()
+    chosen = nodes.join(F.broadcast(chosen), "v", "left_semi").select("v", "x").toArrow()
     ids = chosen.column("v").to_numpy()
     if not len(ids):
         return 1.0
@@ -282,15 +317,15 @@ def audit(nodes: DataFrame, counts: DataFrame, width: int, threshold: float, sam
 
     def scan(batches):
         total = np.zeros(len(ids), dtype=np.int64)
-        for b in batches:
+        for b in (b.slice(at, 2048) for b in batches for at in range(0, b.num_rows, 2048)):
             near = u @ _unit(_matrix(b.column("x"), width)).T >= threshold
             near &= ids[:, None] != b.column("v").to_numpy(zero_copy_only=False)[None, :]
             total += near @ b.column("times").to_numpy(zero_copy_only=False)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["v", "links"])
 
     true = nodes.select("v", "x", "times").mapInArrow(scan, "v long, links long").groupBy("v").agg(F.sum("links").alias("all"))
-    found, there = true.join(counts, "v", "left").agg(F.sum(F.coalesce("links", F.lit(0))), F.sum("all")).first()
-    return found / there if there else 1.0
+    share = true.filter(F.col("all") > 0).join(counts, "v", "left").agg(F.avg(F.coalesce("links", F.lit(0)) / F.col("all"))).first()[0]
+    return 1.0 if share is None else share
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding", k: int = LISTS, trees: int = TREES, recall: float = RECALL) -> DataFrame:
@@ -334,13 +369,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "
             break
     else:
         raise ValueError("vectors share ids and hashes")
+    deeper = max(0, int(np.ceil(np.log2(size / 2**16))))  # deeper trees miss more, so there are more of them
+    trees += deeper
+    sample = max(AUDITED, min(AUDITED_MOST, int(np.sqrt(size))))
     for _ in range(ATTEMPTS):
-        graph = neighbour_graph(nodes, width, size, k, trees)
+        graph = neighbour_graph(nodes, width, size, k, trees, ROUNDS + deeper)
         members = linked_members(nodes, graph, width, threshold, k, trees)
         counts = materialize(link_counts(nodes, members, width, threshold), "link-counts")
-        if audit(nodes, counts, width, threshold) >= recall:
+        if audit(nodes, counts, width, threshold, _close(graph, threshold), sample) >= recall:
             break
         k, trees = 2 * k, 2 * trees
+    else:
+        members, counts = all_compared(nodes, width, threshold)
     placed = nodes.select("v", "x", "least_id", "times").join(members, F.col("v") == F.col("node"), "left").withColumn("label", F.coalesce("component", "v"))
     names = placed.groupBy("label").agg(F.min("least_id").alias("component_id"))
     known = placed.join(names, "label").join(counts, "v", "left").select("x", "component_id", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"))
