@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm import pii, quality
+from tidemark.llm import mixing, pii, quality
 from tidemark.llm.common import materialize
 
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -63,6 +63,25 @@ def test_mixing_keeps_all_rows(outputs):
     assert key(before).equals(key(after))
 
 
+def test_prefixes_of_the_result_meet_the_weights(spark, outputs):
+    docs, last = outputs[4], outputs[5]
+    assert sorted(last.mix_position) == list(range(len(docs)))
+    order = docs.set_index("doc_id").source[last.sort_values("mix_position").doc_id].reset_index(drop=True)
+    n = docs.source.value_counts()
+    a = (1000 * n**0.5 / (n**0.5).sum()).round()
+    first = len(docs)  # until a source runs out
+    for s in n.index:
+        first = min(first, order[order == s].index.max() + 1)
+    met = 0
+    for t in range(1, first + 1):
+        have = order[:t].value_counts().reindex(n.index, fill_value=0)
+        assert ((have - t * a / a.sum()).abs() <= 2 * mixing.BLOCK).all()
+        met += 1
+    assert met
+    want = mixing.mix(spark.createDataFrame(docs[["doc_id", "source"]])).toPandas().set_index("doc_id").mix_position
+    assert all(want[r.doc_id] == r.mix_position for r in last.itertuples())
+
+
 def test_encoding(spark, outputs):
     docs, last = outputs[4:]
     ref = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
