@@ -1,19 +1,25 @@
 """Exact top-k search by inner product over a pivot-distance index.
 
-Vectors are lifted by one coordinate so that all have the largest norm found; inner products
-then rank as Euclidean distances do. Every vector is keyed by its nearest pivot and by the
-annulus around that pivot its distance falls in. A query first visits the annuli nearest to
-its own distances, which gives a lower bound of its k-th score; then, by the triangle
-inequality, |d(q, p) - d(x, p)| <= d(q, x), all annuli whose best possible score is below the
-bound are passed over and the rest are visited. The result is exact.
-
-Sizes: pivots are fitted on at most ``SAMPLE`` vectors; the annuli, at most ``SAMPLE // 8``,
-are described on the driver by a row each; a task compares a block of at most ``BLOCK`` vectors
-of an annulus with a block of queries.
+Equal vectors are one class, which carries its smallest ids; queries with equal vectors ask
+once. Classes fall into levels by their largest component, a factor of 2**10 each, so that a
+few huge vectors don't blur the index of the others. In a level, vectors are lifted by one
+coordinate so that all have the largest norm of the level; inner products then rank as
+Euclidean distances do. Every vector is keyed by its nearest pivot and by the annulus around
+that pivot its distance falls in, and annuli are cut by distance into blocks. A query, brought
+to the norm of a level, first visits the blocks nearest to its own distances, which gives a
+lower bound of its k-th score; then, by the triangle inequality,
+|d(q, p) - d(x, p)| <= d(q, x), all blocks whose best possible score is below the bound are
+passed over and the rest are visited. The result is exact.
+
+Sizes: pivots are fitted on at most ``SAMPLE`` vectors of level 0 and ``SAMPLE // 8`` of each
+other level; the annuli, at most ``SAMPLE // 8`` a level, are described on the driver by a row
+each. Blocks are a table: their number grows with the vectors, and a task compares a block of
+about ``BLOCK`` vectors with a block of queries.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,25 +31,29 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize
 
-#: Vectors the pivots are fitted on, those with the smallest hash of their id.
+#: Vectors the pivots are fitted on, those with the smallest hash.
 SAMPLE = 4096
 PIVOTS = 32
-#: Vectors of an annulus, and queries, that are compared at once.
+#: Vectors of a block, and queries, that are compared at once, about.
 BLOCK = 2048
 QUERY_BLOCK = 512
-#: Components above this after scaling are out of range.
-LARGEST = 1 << 28
+#: Bits between the largest components of one level and the next.
+LEVEL_BITS = 10
+#: Scores from here on don't fit a long.
+_LONG = 2**63 - 1
 
 
 @dataclass
 class Index:
+    """Pivots and annuli of one level; vectors are in units of the level."""
+
     pivots: np.ndarray  # lifted, one a row
     edges: list[np.ndarray]  # inner borders of the annuli of each pivot
     first: np.ndarray  # number of the first annulus of each pivot
     top: float  # largest squared norm
+    unit: float
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
-        x = x.astype(np.float64)
         return np.hstack([x, np.sqrt(np.maximum(self.top - (x**2).sum(1), 0))[:, None]])
 
     def distances(self, lifted: np.ndarray) -> np.ndarray:
@@ -61,10 +71,14 @@ class Index:
             ring[at] = self.first[p] + np.searchsorted(self.edges[p], dist[at], "right")
         return ring, dist
 
+    @property
+    def rings(self) -> int:
+        return sum(len(e) + 1 for e in self.edges)
+
 
-def _fit(sample: np.ndarray, top: float, rows: int, block: int) -> Index:
+def _fit(sample: np.ndarray, top: float, unit: float, rows: int, block: int, begin: int) -> Index:
     """Pivots by farthest-first choice and two rounds of means; borders by sample quantiles."""
-    index = Index(np.zeros((0, 0)), [], np.zeros(0, int), top)
+    index = Index(np.zeros((0, 0)), [], np.zeros(0, int), top, unit)
     x = index.lifted(sample)
     chosen, far = [0], np.full(len(x), np.inf)
     while len(chosen) < min(PIVOTS, len(x)):
@@ -85,150 +99,276 @@ def _fit(sample: np.ndarray, top: float, rows: int, block: int) -> Index:
         n = int(max(1, min(len(own) // 8, round(wanted * len(own) / len(x)))))
         index.edges.append(np.unique(np.quantile(own, np.arange(1, n) / n)) if n > 1 else np.zeros(0))
         counts.append(len(index.edges[-1]) + 1)
-    index.first = np.r_[0, np.cumsum(counts)[:-1]]
+    index.first = begin + np.r_[0, np.cumsum(counts)[:-1]]
     return index
 
 
-def scaled_vectors(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
-    """``vec_id`` and ``v``, the vector in whole steps of 1 / ``scale``, of the rows that take part."""
-    e = F.col(embedding)
-    finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(F.floor(x.cast("double") * scale)) <= LARGEST))
-    return (
-        vectors.filter(F.col(vec_id).isNotNull() & e.isNotNull() & finite)
-        .select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(e, lambda x: F.floor(x.cast("double") * scale).cast("int")).alias("v"))
-        .distinct()
-    )
-
-
 def _matrix(values: pa.Array, width: int) -> np.ndarray:
-    """Rows of a list column as one matrix; shorter vectors end in zeros."""
-    flat, lengths = values.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(values).to_numpy(zero_copy_only=False)
+    """Rows of a list column as one matrix of doubles; shorter vectors end in zeros."""
+    flat, lengths = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64), pc.list_value_length(values).to_numpy(zero_copy_only=False)
     if (lengths == width).all():
         return flat.reshape(len(lengths), width)
-    out = np.zeros((len(lengths), width), dtype=flat.dtype)
+    out = np.zeros((len(lengths), width))
     out[np.repeat(np.arange(len(lengths)), lengths), np.concatenate([np.arange(n) for n in lengths] or [[]]).astype(int)] = flat
     return out
 
 
-def _best(queries: np.ndarray, qids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, exact_float: bool) -> pd.DataFrame:
-    """Each query's k best of one block, ties to the smaller id."""
-    kind = np.float64 if exact_float else np.int64
-    scores = (queries.astype(kind) @ x.astype(kind).T).astype(np.int64)
-    own = qids[:, None] == ids[None, :]
-    lowest = np.iinfo(np.int64).min
-    scores[own] = lowest
-    out = []
-    for i in range(len(qids)):
+def _steps(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) as doubles, which are exact; infinite where that is beyond them."""
+    with np.errstate(over="ignore"):
+        return np.floor(x * scale)
+
+
+def _whole(x: float, scale: int) -> int:
+    """floor(scale * x) as an integer of any size."""
+    return int(x) * scale if abs(x) >= 2**53 else math.floor(x * scale)
+
+
+def _in_units(x: np.ndarray, scale: int, unit: float) -> np.ndarray:
+    return np.where(np.abs(x) < 2**40, _steps(x, scale) / scale, x) / unit
+
+
+def _sortable(n: int) -> bytes:
+    """Bytes that compare as the integers do."""
+    m = abs(n).to_bytes((abs(n).bit_length() + 7) // 8, "big")
+    m = len(m).to_bytes(4, "big") + m
+    return b"\x01" + m if n >= 0 else b"\x00" + bytes(255 - c for c in m)
+
+
+def _float(n: int) -> float:
+    try:
+        return float(n)
+    except OverflowError:
+        return math.inf if n > 0 else -math.inf
+
+
+_SCORED = "score long, big binary, approx double"
+
+
+def _best(q: np.ndarray, x: np.ndarray, least: np.ndarray, k: int, scale: int) -> tuple[list[np.ndarray], list[pa.Array]]:
+    """Of each query's k best classes of a block (ties to the smaller least id): query, class,
+    and the columns of ``_SCORED``."""
+    y, z = _steps(q, scale), _steps(x, scale)
+    width, peak = max(1, q.shape[1]), float(np.abs(y).max(initial=0)) * float(np.abs(z).max(initial=0))
+    fits = width * peak < 2**62
+    if fits:
+        kind = np.float64 if width * peak < 2**53 else np.int64
+        scores, slack = (y.astype(kind) @ z.astype(kind).T).astype(np.int64), 0
+    else:  # doubles find what can be among the best, integers of any size decide
+        a, b = np.abs(q).max(initial=0) or 1.0, np.abs(x).max(initial=0) or 1.0
+        scores = (_in_units(q, scale, 1.0) / a) @ (_in_units(x, scale, 1.0) / b).T
+        slack = width * 2.0**-48
+        left, right = ([[_whole(c, scale) for c in r] for r in m] for m in (q.tolist(), x.tolist()))
+    rows, classes, exact = [], [], []
+    for i in range(len(q)):
         s = scores[i]
-        if len(s) > k:
-            cand = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+        cand = np.arange(len(s)) if len(s) <= k else np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k] - slack)
+        if fits:
+            cand = cand[np.lexsort((least[cand], -s[cand]))][:k]
+            exact.append(s[cand])
         else:
-            cand = np.arange(len(s))
-        cand = cand[np.lexsort((ids[cand], -s[cand]))][:k]
-        cand = cand[s[cand] > lowest]
-        out.append((np.full(len(cand), qids[i]), ids[cand], s[cand]))
-    q, v, s = (np.concatenate(c) for c in zip(*out))
-    return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
+            found = sorted((-sum(map(int.__mul__, left[i], right[j])), int(least[j]), int(j)) for j in cand)[:k]
+            cand = np.array([j for _, _, j in found], dtype=np.int64)
+            exact += [-s for s, _, _ in found]
+        rows.append(np.full(len(cand), i))
+        classes.append(cand)
+    where = [np.concatenate(rows), np.concatenate(classes)]
+    if fits:
+        score = np.concatenate(exact)
+        return where, [pa.array(score), pa.nulls(len(score), pa.binary()), pa.array(score.astype(np.float64))]
+    far = [abs(s) >= _LONG for s in exact]
+    kept = [s if not f else _LONG if s > 0 else -_LONG - 1 for s, f in zip(exact, far)]
+    return where, [pa.array(kept, pa.int64()), pa.array([_sortable(s) if f else None for s, f in zip(exact, far)], pa.binary()), pa.array([_float(s) for s in exact], pa.float64())]
+
+
+def usable_vectors(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
+    """``vec_id`` and ``v`` of the rows that take part, components as they are or as doubles."""
+    e = F.col(embedding)
+    finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    element = vectors.schema[embedding].dataType.elementType.simpleString()
+    return vectors.filter(F.col(vec_id).isNotNull() & e.isNotNull() & finite).select(
+        F.col(vec_id).cast("long").alias("vec_id"), F.transform(e, lambda x: x.cast("float" if element == "float" else "double") + F.lit(0).cast("byte")).alias("v")
+    )
 
 
 def top_k(vectors: DataFrame, is_query: Column | None = None, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 1024) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: each query's k best other vectors.
 
-    ``is_query`` is a condition on the column ``vec_id``; by default ids divisible by 100. Score is the integer
-    inner product of floor(scale * x); equal scores rank by smaller vec_id; a query with fewer
-    than k others gets all. Rows with a null id or vector, null or non-finite components, or
-    components beyond ``LARGEST`` / ``scale`` take no part. A row repeated with the same id and
-    vector counts once; a query never meets rows of its own id. A shorter vector counts as
-    ending in zeros. An empty table gives an empty result.
+    ``is_query`` is a condition on the column ``vec_id``; by default ids divisible by 100. Score
+    is the integer inner product of floor(scale * x), exact whatever its size; one beyond a long
+    is ranked as it is and returned as the nearest long. Equal scores rank by smaller vec_id; a
+    query with fewer than k others gets all. Rows with a null id or vector, or null or
+    non-finite components, take no part. Repeated rows count each time, as candidates and as
+    queries, whose answers are ranked together; a query never meets rows of its own id. A
+    shorter vector counts as ending in zeros. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    schema = "query_id long, vec_id long, score long"
-    base = materialize(scaled_vectors(vectors, vec_id, embedding, scale), "scaled")
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    rows, width, top, peak = base.agg(F.count("*"), F.max(F.size("v")), F.max(square), F.max(F.array_max(F.transform("v", F.abs)))).first()
-    if not rows or not width:
+    rows = materialize(usable_vectors(vectors, vec_id, embedding).groupBy("v", "vec_id").agg(F.count("*").alias("n")), "vectors")
+    asking = rows.filter(F.col("vec_id") % 100 == 0 if is_query is None else is_query)
+    # of k + most entries of a list, at most ``most`` are a query's own
+    most = asking.groupBy("vec_id").agg(F.count("*").alias("m")).agg(F.max("m")).first()[0]
+    if not most:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    exact_float = width * float(peak or 0) ** 2 < 2**53
-    picked = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
-    index = _fit(_matrix(picked.column("v").combine_chunks(), width), top, rows, BLOCK)
+    long = k + most
+    smallest = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    peak = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    level = F.when(peak > 1, F.least(F.ceil(F.log2(peak) / LEVEL_BITS), F.lit(1020 // LEVEL_BITS))).otherwise(0).cast("int")  # units are doubles
+    classes = materialize(
+        rows.withColumn("r", smallest)
+        .filter(F.col("r") <= long)
+        .groupBy("v")
+        .agg(F.sort_array(F.collect_list(F.struct("vec_id", F.least("n", F.lit(k)).alias("n")))).alias("ids"))  # at most ``long``
+        .withColumn("level", level),
+        "classes",
+    )
+    unit = F.pow(F.lit(2.0), LEVEL_BITS * F.col("level"))
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow((F.abs(x.cast("double")) + 1 / scale) / unit, 2))
+    sizes = classes.groupBy("level").agg(F.count("*").alias("rows"), F.max(F.size("v")).alias("width"), F.max(square).alias("top")).orderBy("level").collect()  # 205 at most
+    width = max(s.width for s in sizes)
+    chance = Window.partitionBy("level").orderBy(F.xxhash64("v"), "v")
+    sample = classes.select("level", "v", F.row_number().over(chance).alias("r")).filter(F.col("r") <= SAMPLE).filter((F.col("level") == 0) | (F.col("r") <= SAMPLE // 8)).toArrow()
+    sample_level = sample.column("level").to_numpy()
+    indexes: dict[int, Index] = {}
+    for s in sizes:
+        one = _matrix(sample.column("v").combine_chunks().filter(pa.array(sample_level == s.level)), width)
+        step = 2.0 ** (LEVEL_BITS * s.level)
+        indexes[s.level] = _fit(_in_units(one, scale, step), s.top, step, s.rows, BLOCK, sum(i.rings for i in indexes.values()))
 
     def place(batches):
         for b in batches:
-            ring, dist = index.place(_matrix(b.column("v"), width))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(ring), pa.array(dist)], names=["vec_id", "v", "ring", "dist"])
-
-    placed = materialize(base.mapInArrow(place, "vec_id long, v array<int>, ring long, dist double"), "placed")
-    stats = placed.groupBy("ring").agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi")).orderBy("ring").toPandas()
-    pivot_of = np.searchsorted(index.first, stats["ring"].to_numpy(), "right") - 1
+            levels, x = b.column("level").to_numpy(), _matrix(b.column("v"), width)
+            ring, dist = np.zeros(len(x), np.int64), np.zeros(len(x))
+            for n in np.unique(levels):
+                at = levels == n
+                ring[at], dist[at] = indexes[n].place(_in_units(x[at], scale, indexes[n].unit))
+            yield pa.RecordBatch.from_arrays([b.column("v"), b.column("ids"), pa.array(ring), pa.array(dist)], names=["v", "ids", "ring", "dist"])
+
+    vtype = classes.schema["v"].dataType.simpleString()
+    placed = materialize(classes.mapInArrow(place, f"v {vtype}, ids array<struct<vec_id:long,n:long>>, ring long, dist double"), "placed")
+    annuli = placed.groupBy("ring").agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi"))
+    stats = annuli.orderBy("ring").toPandas()  # SAMPLE // 8 a level at most
+    level_of = np.concatenate([np.full(i.rings, n) for n, i in indexes.items()])[stats["ring"]]
     ring_ids, ring_n, lo, hi = (stats[c].to_numpy() for c in ("ring", "n", "lo", "hi"))
-    blocks = spark.createDataFrame(pd.DataFrame({"ring": ring_ids, "blocks": -(-ring_n // BLOCK)}))
+    # a block is a part of an annulus by distance, and where distances crowd by chance
+    frame = spark.createDataFrame(pd.DataFrame({"ring": ring_ids, "lo": lo, "step": np.maximum(hi - lo, 1e-300), "cuts": -(-ring_n // BLOCK)}))
+    cut = F.least(F.floor((F.col("dist") - F.col("lo")) / F.col("step") * F.col("cuts")), F.col("cuts") - 1)
+    dealt = placed.join(F.broadcast(frame), "ring").select("ring", cut.alias("cut"), "v", "ids", "dist")
+    cuts = materialize(dealt.groupBy("ring", "cut").agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi")).withColumn("parts", F.ceil(F.col("n") / BLOCK)), "cuts")
+    place_of = ["ring", "cut", "part"]
     packed = (
-        placed.join(F.broadcast(blocks), "ring")  # a row for each annulus: SAMPLE // 8 at most
-        .groupBy("ring", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).alias("block"))
-        .agg(F.collect_list(F.struct("vec_id", "v")).alias("m"))
-        .select("ring", F.col("m.vec_id").alias("ids"), F.col("m.v").alias("vs"))
+        dealt.join(cuts.select("ring", "cut", "parts"), ["ring", "cut"])
+        .groupBy("ring", "cut", F.pmod(F.xxhash64("v"), F.col("parts")).alias("part"))
+        .agg(F.collect_list(F.struct("v", "ids")).alias("m"))
+        .select(*place_of, F.col("m.v").alias("vs"), F.col("m.ids").alias("ids"))
     )
-    condition = F.col("vec_id") % 100 == 0 if is_query is None else is_query
-    asked = placed.filter(condition).select(F.col("vec_id").alias("query_id"), "v")
-    slack = 1e-7 * (top + 1)
-
-    def bounds(b):
-        """Best possible score of each query (row) in each annulus (column)."""
-        q = _matrix(b.column("v"), width).astype(np.float64)
-        square = (q**2).sum(1)
-        lifted = np.hstack([q, np.zeros((len(q), 1))])
-        d = index.distances(lifted)[:, pivot_of]
-        gap = np.maximum(0, np.maximum(d - hi[None, :], lo[None, :] - d))
-        return (index.top + square[:, None] - gap**2) / 2 + slack * (1 + np.sqrt(square))[:, None]
+    packed = materialize(packed, "blocks")
+    blocks = cuts.select("ring", "cut", "lo", "hi", (F.col("n") / F.col("parts")).alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    asked = materialize(asking.select("v").distinct().withColumn("level", level).withColumn("query", F.monotonically_increasing_id()), "queries")
+    n_query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
 
-    need = np.maximum(4 * k, BLOCK)
+    def reach(b):
+        """For each query (row) and annulus (column): distance from the pivot, the best possible
+        score next to it, and what that falls by with the square of the gap."""
+        raw, levels = _matrix(b.column("v"), width), b.column("level").to_numpy(zero_copy_only=False)
+        own = 2.0 ** (LEVEL_BITS * levels.astype(np.float64))
+        q = _in_units(raw, scale, 1.0) / own[:, None]
+        norm = np.sqrt((q**2).sum(1))
+        d, half, factor = (np.empty((len(q), len(ring_ids))) for _ in range(3))
+        for n, index in indexes.items():
+            at = level_of == n
+            grow = np.where(norm > 0, np.sqrt(index.top) / np.where(norm > 0, norm, 1), 1.0)
+            x = q * grow[:, None]
+            pivot = np.searchsorted(index.first, ring_ids[at], "right") - 1
+            d[:, at] = index.distances(np.hstack([x, np.zeros((len(x), 1))]))[:, pivot]
+            half[:, at] = ((index.top + (x**2).sum(1)) / 2 + 1e-6 * (index.top + 1))[:, None]
+            factor[:, at] = (float(scale) ** 2 * own * index.unit / grow)[:, None]
+        return d, half, factor
+
+    def bounds(d, half, factor):
+        gap = np.maximum(0, np.maximum(d - hi[None, :], lo[None, :] - d))
+        with np.errstate(over="ignore", invalid="ignore"):
+            return np.nan_to_num((half - gap**2 / 2) * factor, nan=np.inf, posinf=np.inf, neginf=-np.inf)
 
-    def first_visits(best):
-        """The most promising annuli until enough vectors are met."""
-        order = np.argsort(-best, axis=1, kind="stable")
-        met = np.cumsum(ring_n[order], axis=1)
-        take = np.zeros(best.shape, dtype=bool)
-        np.put_along_axis(take, order, (met - ring_n[order]) < need, axis=1)
-        return take
+    need = max(4 * long, BLOCK)
+    visit = "query long, ring long, d double, half double, factor double"
 
-    def emit(b, take):
+    def emit(b, take, *columns):
         i, j = np.nonzero(take)
-        return pa.RecordBatch.from_arrays([pa.array(ring_ids[j], pa.int64()), b.column("query_id").take(pa.array(i)), b.column("v").take(pa.array(i))], names=["ring", "query_id", "v"])
+        return pa.RecordBatch.from_arrays([b.column("query").take(pa.array(i)), pa.array(ring_ids[j], pa.int64()), *[pa.array(c[i, j]) for c in columns]], names=["query", "ring", "d", "half", "factor"])
 
     def first(batches):
+        """The most promising annuli until enough vectors are met."""
         for b in batches:
-            yield emit(b, first_visits(bounds(b)))
+            known = reach(b)
+            order = np.argsort(-bounds(*known), axis=1, kind="stable")
+            met = np.cumsum(ring_n[order], axis=1)
+            take = np.zeros(order.shape, dtype=bool)
+            np.put_along_axis(take, order, (met - ring_n[order]) < need, axis=1)
+            yield emit(b, take, *known)
 
     def later(batches):
         for b in batches:
-            best = bounds(b)
+            known = reach(b)
             bar = b.column("bar").to_numpy(zero_copy_only=False).astype(np.float64)
-            yield emit(b, ~first_visits(best) & (best >= np.where(np.isnan(bar), -np.inf, bar)[:, None]))
-
-    n_query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-
-    def scored(queries: DataFrame) -> DataFrame:
-        blocks_of = (
-            queries.groupBy("ring", F.pmod(F.xxhash64("query_id"), F.lit(n_query_blocks)).alias("qb"))
-            .agg(F.collect_list(F.struct("query_id", "v")).alias("q"))
-            .select("ring", F.col("q.query_id").alias("qids"), F.col("q.v").alias("qs"))
+            yield emit(b, bounds(*known) >= np.where(np.isnan(bar), -np.inf, bar)[:, None], *known)
+
+    gap = F.greatest(F.lit(0.0), F.col("d") - F.col("hi"), F.col("lo") - F.col("d"))
+    best = (F.col("half") - gap * gap / 2) * F.col("factor")
+    best = F.when(F.isnan(best), float("inf")).otherwise(best).alias("best")
+
+    def scored(visits: DataFrame) -> DataFrame:
+        queries = (
+            visits.join(asked.select("query", "v"), "query")
+            .groupBy(*place_of, F.pmod(F.xxhash64("query"), F.lit(n_query_blocks)).alias("qb"))
+            .agg(F.collect_list(F.struct("query", "v")).alias("q"))
+            .select(*place_of, F.col("q.query").alias("queries"), F.col("q.v").alias("qs"))
         )
 
         def compare(batches):
             for b in batches:
                 for i in range(b.num_rows):
-                    qids, ids = (np.asarray(b.column(c)[i].values) for c in ("qids", "ids"))
+                    qids, ids = b.column("queries")[i].values, b.column("ids")[i].values
                     q, x = (_matrix(b.column(c)[i].values, width) for c in ("qs", "vs"))
-                    yield pa.RecordBatch.from_pandas(_best(q, qids, x, ids, k, exact_float), preserve_index=False)
-
-        return blocks_of.join(packed, "ring").select("qids", "qs", "ids", "vs").mapInArrow(compare, schema)
-
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-
-    def best_k(found: DataFrame) -> DataFrame:
-        return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
-
-    near = materialize(best_k(scored(asked.mapInArrow(first, "ring long, query_id long, v array<int>"))), "first-visits")
-    bar = near.filter(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
-    rest = scored(asked.join(bar, "query_id", "left").mapInArrow(later, "ring long, query_id long, v array<int>"))
-    return best_k(near.drop("rank").unionByName(rest)).select("query_id", "rank", "vec_id", "score")
+                    firsts = ids.flatten().field("vec_id").to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()]
+                    (row, at), columns = _best(q, x, firsts, long, scale)
+                    yield pa.RecordBatch.from_arrays([qids.take(pa.array(row)), ids.take(pa.array(at)), *columns], names=["query", "ids", "score", "big", "approx"])
+
+        found = queries.join(packed, place_of).select("queries", "qs", "vs", "ids").mapInArrow(compare, f"query long, ids array<struct<vec_id:long,n:long>>, {_SCORED}")
+        return found.select("query", F.inline("ids"), "score", "big", "approx")
+
+    order = [F.desc("score"), F.desc("big"), F.asc("vec_id")]
+    best_of = Window.partitionBy("query").orderBy(*order)
+
+    def shortlist(found: DataFrame) -> DataFrame:
+        return found.withColumn("r", F.row_number().over(best_of)).filter(F.col("r") <= long)
+
+    nearest = Window.partitionBy("query").orderBy(F.desc("best"), *place_of)
+    started = materialize(
+        asked.mapInArrow(first, visit)
+        .join(blocks, "ring")
+        .select("query", *place_of, "n", best)
+        .withColumn("met", F.sum("n").over(nearest.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"))
+        .filter(F.col("met") < need)
+        .select("query", *place_of),
+        "first-visits",
+    )
+    near = materialize(shortlist(scored(started)), "first-found")
+    bars = near.filter(F.col("r") == long).select("query", F.col("approx").alias("bar"))
+    rest = (
+        asked.join(bars, "query", "left")
+        .mapInArrow(later, visit)
+        .join(blocks, "ring")
+        .join(bars, "query", "left")
+        .filter(best >= F.coalesce("bar", F.lit(float("-inf"))))
+        .select("query", *place_of)
+        .join(started, ["query", *place_of], "left_anti")
+    )
+    lists = materialize(shortlist(near.drop("r").unionByName(scored(rest))), "found")
+    who = asking.join(asked, "v").select("query", F.col("vec_id").alias("query_id"), F.col("n").alias("times"))
+    answers = (
+        who.join(lists, "query")
+        .filter("vec_id <> query_id")
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("n") * F.col("times"), F.lit(k).cast("long")))))
+        .withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    )
+    return answers.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
