@@ -100,6 +100,32 @@ def test_scaled_copies(spark):
     assert run(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.012, 0.05, 0.09])
+def test_large_components(spark, monkeypatch, spread):
+    """Rings settle what is close together; the rest is compared in blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 64)
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=12)
+    rows = [(i, f32((base + spread * rng.normal(size=12)) * rng.uniform(1, 5))) for i in range(700)]
+    rows += [(i, f32(rng.normal(size=12))) for i in range(700, 900)] + [(900 + i, rows[i][1]) for i in range(40)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_tight_component_sends_no_vectors_to_pairs_of_blocks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(neardup, "BLOCK", 64)
+    rng = np.random.default_rng(13)
+    base = rng.normal(size=12)
+    nodes = spark.createDataFrame([(i, [float(x) for x in base + 1e-3 * rng.normal(size=12)], 1) for i in range(5000)], "v long, x array<double>, times long")
+    seen = []
+    keep = neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, name: (seen.append((name, keep(df, name))), seen[-1][1])[1])
+    got = neardup.link_counts(nodes, nodes.select(F.col("v").alias("node"), F.lit(0).cast("long").alias("component")), 12, 0.95)
+    assert {r.links for r in got.collect()} == {4999}
+    assert dict(seen)["block-pairs"].count() == 0
+
+
 def test_all_are_compared_when_attempts_fail(spark, monkeypatch):
     """A hot component that is found doesn't hide pairs that are lost."""
     monkeypatch.setattr(neardup, "BLOCK", 64)

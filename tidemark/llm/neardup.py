@@ -9,13 +9,15 @@ verified in double precision.
 Threshold edges of the graph give components. Where a list is saturated, all its entries being
 links, it may lack some, in its own component and outwards. Outwards, nodes with saturated lists
 get a second graph whose lists hold members of other components alone; its links merge
-components, and this is repeated until there are none. Inwards, a list is enlarged to all members
-of its component, which are compared in blocks and counted. A link joins members of one
-component, so link counts are exact once the graph connects what belongs together.
+components, and this is repeated until there are none. Inwards, every list is enlarged to all
+members of its component, which are counted and not listed: rings by the angle from one member
+settle what lies close together or far apart, the rest is compared in blocks. A link joins
+members of one component, so link counts are exact once the graph connects what belongs together.
 
 An audit compares random nodes and nodes with close pairs with every vector; while the mean
 recall of their links is below the target, the graph is built again with longer lists and more
-trees. If the last attempt is below it too, all nodes are compared with each other.
+trees. If the last attempt is below it too, all nodes are compared with each other but for those
+that their rings keep apart, so no result goes out below the target.
 """
 
 from __future__ import annotations
@@ -39,7 +41,10 @@ LEAF, LEAF_MOST = 96, 256
 #: Nodes of a larger leaf that are in each of its blocks, about.
 SHARED = 16
 #: Members of a component that are compared as one block.
-BLOCK = 512
+BLOCK = 1024
+#: Rings to the threshold's angle in which members of larger components stand, and what angles
+#: in radians are taken to be off by.
+RINGS, ANGLE_SLACK = 8, 1e-6
 #: Nodes of each kind compared with all others by the audit, at least and at most, and the share
 #: of a node's links that must be found, on average.
 AUDITED_MOST = 1024
@@ -242,59 +247,102 @@ def linked_members(nodes: DataFrame, graph: DataFrame, width: int, threshold: fl
 
 def link_counts(nodes: DataFrame, members: DataFrame, width: int, threshold: float) -> DataFrame:
     """``v``, ``links``: vectors within the threshold among each node's component."""
-    return _compared(nodes, members, width, threshold).groupBy("v").agg(F.sum("links").alias("links"))
-
-
-def _compared(nodes: DataFrame, members: DataFrame, width: int, threshold: float, roots: bool = False) -> DataFrame:
-    """``v``, ``links``, ``root``: for each node and pair of blocks, the vectors linked with it.
-
-    ``members`` has ``node`` and ``component``. Blocks of a component meet in pairs; a pair of
-    blocks emits a count for each node and never a pair of nodes. With ``roots``, ``root`` is a
-    node of the pair of blocks that is reachable in it, the same for all that reach it.
+    return compared(nodes, members, width, threshold).groupBy("v").agg(F.sum("links").alias("links"))
+
+
+_COUNTED = "v long, links long, root long"
+
+
+def _count_near(table: pa.Table, cuts: np.ndarray, width: int, threshold: float, roots: bool) -> pa.RecordBatch:
+    """Links of each row of groups of rows; ``side`` 0 meets side 1, side 2 meets itself."""
+    ids, times, side = (table.column(c).to_numpy() for c in ("node", "times", "side"))
+    u = _unit(_matrix(table.column("x"), width))
+    links, root = np.zeros(len(ids), dtype=np.int64), ids.copy()
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if side[a] == 2:
+            near = u[a:b] @ u[a:b].T >= threshold
+            np.fill_diagonal(near, False)
+            links[a:b] = near @ times[a:b]
+            i = j = np.arange(a, b)
+        else:
+            i, j = a + np.flatnonzero(side[a:b] == 0), a + np.flatnonzero(side[a:b] == 1)
+            near = u[i] @ u[j].T >= threshold
+            links[i], links[j] = near @ times[j], near.T @ times[i]
+        while roots and near.any():  # the smallest node reachable
+            was = root[a:b].copy()
+            root[i] = np.minimum(root[i], np.where(near, root[j][None, :], _NO_NODE).min(axis=1))
+            root[j] = np.minimum(root[j], np.where(near, root[i][:, None], _NO_NODE).min(axis=0))
+            if (root[a:b] == was).all():
+                break
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(root)], names=["v", "links", "root"])
+
+
+def compared(nodes: DataFrame, members: DataFrame, width: int, threshold: float, roots: bool = False) -> DataFrame:
+    """``v``, ``links``, ``root``: for each node its linked vectors, in one or several rows.
+
+    ``members`` has ``node`` and ``component``. A component of up to ``BLOCK`` nodes is compared
+    at once. A larger one is cut into rings by the angle from its smallest node. By the triangle
+    inequality, nodes of two rings are all linked if their largest angles together stay within
+    the threshold's, and none is if the rings are further apart than that; both are settled by
+    a sum over rings. What is left is compared in pairs of blocks, which emit counts and never
+    a pair of nodes: a component all of whose members are close to one costs in proportion to
+    its size, a loose one with its square. ``root`` is a node reachable in the group compared,
+    the same for all that reach it, if ``roots``.
     """
-    sized = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = (
-        members.join(sized, "component")
-        .join(nodes.select(F.col("v").alias("node"), "x", "times"), "node")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "own", "other", "node", "x", "times")
-    )
-    ready = hash_split(dealt, "key").sortWithinPartitions("key")
+    sized = materialize(members.groupBy("component").agg(F.count("*").alias("n"), F.min("node").alias("pivot")), "components")
+    rows = members.join(sized, "component").join(nodes.select(F.col("v").alias("node"), "x", "times"), "node")
 
     def count(batches):
         for table, cuts in whole_groups(batches, "key"):
-            ids, times, own, other = (table.column(c).to_numpy() for c in ("node", "times", "own", "other"))
-            u = _unit(_matrix(table.column("x"), width))
-            links, root = np.zeros(len(ids), dtype=np.int64), ids.copy()
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                low = own[a:b] <= other[a:b]  # one block of the pair; the same rows if it meets itself
-                if (own[a:b] == other[a:b]).all():
-                    near = u[a:b] @ u[a:b].T >= threshold
-                    np.fill_diagonal(near, False)
-                    links[a:b] = near @ times[a:b]
-                    i = j = np.arange(a, b)
-                else:
-                    i, j = a + np.flatnonzero(low), a + np.flatnonzero(~low)
-                    near = u[i] @ u[j].T >= threshold
-                    links[i], links[j] = near @ times[j], near.T @ times[i]
-                while roots and near.any():  # the smallest node reachable
-                    low = np.minimum(root[i], np.where(near, root[j][None, :], _NO_NODE).min(axis=1))
-                    was = root[a:b].copy()
-                    root[i] = low
-                    root[j] = np.minimum(root[j], np.where(near, root[i][:, None], _NO_NODE).min(axis=0))
-                    if (root[a:b] == was).all():
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(root)], names=["v", "links", "root"])
-
-    return ready.mapInArrow(count, "v long, links long, root long")
+            yield _count_near(table, cuts, width, threshold, roots)
+
+    columns = ["key", "side", "node", "x", "times"]
+
+    def grouped(dealt: DataFrame) -> DataFrame:
+        return hash_split(dealt.select(*columns), "key").sortWithinPartitions("key").mapInArrow(count, _COUNTED)
+
+    small = grouped(rows.filter(F.col("n") <= BLOCK).select(F.col("component").alias("key"), F.lit(2).alias("side"), "node", "x", "times"))
+    large = sized.filter(F.col("n") > BLOCK)
+    if large.isEmpty():
+        return small
+    most = float(np.arccos(threshold))
+    pivots = materialize(large.join(nodes.select(F.col("v").alias("pivot"), F.col("x").alias("px")), "pivot").select("component", "px"), "pivots")
+
+    def measure(batches):
+        for b in batches:
+            near = (_unit(_matrix(b.column("x"), width)) * _unit(_matrix(b.column("px"), width))).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("component", "pivot", "node", "x", "times")], pa.array(np.arccos(np.clip(near, -1, 1)))], names=["component", "pivot", "node", "x", "times", "angle"])
+
+    turned = (
+        rows.filter(F.col("n") > BLOCK).join(pivots, "component").select("component", "pivot", "node", "x", "times", "px").mapInArrow(measure, "component long, pivot long, node long, x array<double>, times long, angle double")
+    )
+    turned = materialize(turned.withColumn("ring", F.floor(F.col("angle") / most * RINGS).cast("int")), "turned")
+    rings = materialize(turned.groupBy("component", "ring").agg(F.count("*").alias("n"), F.sum("times").alias("times"), F.min("angle").alias("lo"), F.max("angle").alias("hi")), "rings")
+    rings = rings.withColumn("parts", F.ceil(F.col("n") / BLOCK))
+    one = rings.select("component", *[F.col(c).alias("a_" + c) for c in ("ring", "parts", "times", "lo", "hi")])
+    two = rings.select("component", *[F.col(c).alias("b_" + c) for c in ("ring", "parts", "times", "lo", "hi")])
+    pairs = materialize(one.join(two, "component").withColumn("all", F.col("a_hi") + F.col("b_hi") <= most - ANGLE_SLACK), "ring-pairs")  # a row for two rings of a component
+    sure = pairs.filter("all").groupBy("component", F.col("a_ring").alias("ring")).agg(F.sum("b_times").alias("links"), F.max((F.col("a_ring") == F.col("b_ring")).cast("int")).alias("own"))
+    settled = turned.join(sure, ["component", "ring"]).select(F.col("node").alias("v"), (F.col("links") - F.col("own") * F.col("times")).alias("links"), F.col("pivot").alias("root"))
+    apart = F.greatest(F.col("a_lo") - F.col("b_hi"), F.col("b_lo") - F.col("a_hi")) > most + ANGLE_SLACK
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = pairs.filter(~F.col("all") & ~apart & (F.col("a_ring") <= F.col("b_ring"))).withColumn("a_part", upto("a_parts")).withColumn("b_part", upto("b_parts"))
+    left = left.filter((F.col("a_ring") < F.col("b_ring")) | (F.col("a_part") <= F.col("b_part")))
+    itself = (F.col("a_ring") == F.col("b_ring")) & (F.col("a_part") == F.col("b_part"))
+    tasks = materialize(left.select("component", "a_ring", "a_part", "b_ring", "b_part", itself.alias("itself"), F.monotonically_increasing_id().alias("key")), "block-pairs")
+    dealt = turned.join(rings.select("component", "ring", "parts"), ["component", "ring"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    block = ["component", "ring", "part"]
+    firsts = tasks.select("component", F.col("a_ring").alias("ring"), F.col("a_part").alias("part"), "key", F.when(F.col("itself"), 2).otherwise(0).alias("side"))
+    seconds = tasks.filter("NOT itself").select("component", F.col("b_ring").alias("ring"), F.col("b_part").alias("part"), "key", F.lit(1).alias("side"))
+    open_ = grouped(dealt.join(firsts.unionByName(seconds), block))
+    return small.unionByName(settled).unionByName(open_)
 
 
 def all_compared(nodes: DataFrame, width: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Members and link counts from all pairs of nodes: exact, and quadratic in their number."""
+    """Members and link counts from rings of all nodes: exact, and quadratic but for what the
+    angles from one node leave out."""
     one = nodes.select(F.col("v").alias("node"), F.lit(0).cast("long").alias("component"))
-    found = materialize(_compared(nodes, one, width, threshold, roots=True).filter("links > 0"), "all-compared")
+    found = materialize(compared(nodes, one, width, threshold, roots=True).filter("links > 0"), "all-compared")
     members = materialize(connected_components(found.select(F.col("v").alias("a"), F.col("root").alias("b"))), "members")
     return members, found.groupBy("v").agg(F.sum("links").alias("links"))
 
