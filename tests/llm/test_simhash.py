@@ -106,3 +106,26 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(201)}, 500: 500, 1000: 500}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_hub_is_split(spark):
+    """Both joins of a round are between shuffles of their own, so the skew rule applies."""
+    from tidemark.llm import components
+
+    settings = {
+        "spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.files.maxPartitionBytes": "64k",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        star = spark.range(1, 100_001).selectExpr("50L AS u", "id + 100 AS v").unionByName(spark.range(200_000, 220_000).selectExpr("id AS u", "id + 1 AS v"))
+        star = components.materialize(star, "star")
+        lows = components._minima(star)
+        joined = star.join(lows, star.u == lows.mu).select("v", "m")
+        assert joined.toArrow().num_rows == 120_000
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

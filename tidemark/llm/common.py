@@ -19,13 +19,15 @@ ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 def scratch_dir(spark: SparkSession) -> str:
     """Folder shared by the driver and all executors.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests in one
-    JVM) a temporary folder of this machine is made and kept for the session.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the session
+    runs in one JVM (tests) a temporary folder of this machine is made and kept for the session.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("tidemark.scratch.dir", None)
         if not found:
+            if not spark.conf.get("spark.master", "").startswith("local"):
+                raise ValueError("spark.checkpoint.dir names no folder that all executors share")
             found = "file://" + tempfile.mkdtemp(prefix="tidemark-scratch-")
             spark.conf.set("tidemark.scratch.dir", found)
     return found.rstrip("/")
@@ -44,7 +46,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files behind a table given by :func:`materialize` that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

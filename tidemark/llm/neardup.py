@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hash_split, materialize, whole_groups
+from tidemark.llm.common import discard, hash_split, materialize, whole_groups
 from tidemark.llm.components import connected_components
 
 LISTS = 10
@@ -116,7 +116,7 @@ def leaves(nodes: DataFrame, width: int, n: int, trees: int, k: int, apart: bool
     dealt = nodes.select("v", "q", *label).mapInArrow(place, "leaf long, v long, q binary" + (", component long" if apart else ""))
     # blocks of a leaf differ from tree to tree, and a few of its nodes are in all of them
     large = dealt.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > LEAF_MOST)
-    large = large.select("leaf", F.ceil(F.col("n") / LEAF_MOST).alias("blocks"), F.ceil(F.col("n") / SHARED).alias("share"))
+    large = materialize(large.select("leaf", F.ceil(F.col("n") / LEAF_MOST).alias("blocks"), F.ceil(F.col("n") / SHARED).alias("share")), "large-leaves")
     shared = F.pmod(F.xxhash64("v", "leaf", F.lit(1)), F.col("share")) == 0
     block = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).when(shared, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("v", "leaf"), F.col("blocks"))))
     placed = dealt.join(large, "leaf", "left").select("leaf", F.explode(block).alias("block"), "v", "q", *label)
@@ -198,7 +198,8 @@ def neighbour_graph(nodes: DataFrame, width: int, n: int, k: int, trees: int, ro
     components alone."""
     graph = materialize(_best(leaves(nodes, width, n, trees, k, own is not None, seed), k), "graph")
     for turn in range(rounds):
-        graph = materialize(descend(nodes, graph, width, k, turn, own), "graph")
+        last, graph = graph, materialize(descend(nodes, graph, width, k, turn, own), "graph")
+        discard(last)
         if (graph.agg(F.sum("new")).first()[0] or 0) <= 0.001 * k * n:
             break
     return graph
@@ -430,7 +431,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "
     else:
         members, counts = all_compared(nodes, width, threshold)
     placed = nodes.select("v", "x", "least_id", "times").join(members, F.col("v") == F.col("node"), "left").withColumn("label", F.coalesce("component", "v"))
-    names = placed.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    names = materialize(placed.groupBy("label").agg(F.min("least_id").alias("component_id")), "names")
     known = placed.join(names, "label").join(counts, "v", "left").select("x", "component_id", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"))
+    known = materialize(known, "known")
     linked = good.join(known, "x").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     return linked.unionByName(alone)

@@ -1,16 +1,17 @@
 """SimHash near-duplicates found with pivot distance tables.
 
-Each distinct fingerprint gets a row of Hamming distances to reference fingerprints. Two
-fingerprints at distance d differ by at most d in every coordinate, so a pair whose largest
+Each distinct fingerprint gets a row of Hamming distances to reference fingerprints. Distances
+to one reference differ by at most the distance of the two fingerprints, so a pair whose largest
 coordinate difference exceeds the limit is discarded; the others are verified exactly.
 
-Two kinds of reference serve this. Sixteen full-width references discard pairs. Before that,
-references confined to a segment of the word decide who is compared at all: with limit + s
-segments, two fingerprints within the limit agree wholly on at least s of them, that is, their
-distances to every reference on those segments are equal. A key made of s segments therefore
-meets every pair to be linked, over as many tables as there are choices of s (ten for a limit
-of 3 and s = 2), and no n-squared comparison is made. ``s`` grows with the number of
-fingerprints so that chance seldom puts two of them under one key; the result is the same.
+The table has two parts. Distances within a segment of the word, to several references each,
+decide who is compared at all: of limit + s segments, two fingerprints within the limit differ
+in at most ``limit``, and in the s others no coordinate may differ. So rows of the table that
+agree in all coordinates of s segments meet under a key, over as many keys as there are choices
+of s (ten for a limit of 3 and s = 2); all other pairs are discarded without being looked at.
+Those that meet are discarded by their distances over the whole word, sorted by the first of
+them. ``s`` grows with the number of fingerprints so that chance seldom puts two of them under
+one key; the result is the same.
 
 Keys shared by many fingerprints are dealt out as pairs of bounded blocks. Within a group only
 links of a spanning forest are emitted, as many as members at most: they give the same
@@ -33,6 +34,8 @@ from tidemark.llm.components import connected_components
 SHINGLE_WORDS = 3
 SEED = 42
 LIMIT = 3
+#: References whose distances within a segment are its signature.
+SEGMENT_REFERENCES = 8
 #: Members of a key's group that one task compares at once.
 BLOCK = 2048
 #: Groups up to this size are compared by shifting, larger ones by a frontier search.
@@ -81,17 +84,27 @@ def shared_segments(n: int, limit: int = LIMIT) -> int:
     return s
 
 
-def segment_keys(fp: str, limit: int = LIMIT, shared: int = 2):
-    """Array of (tab, key): the values of each choice of ``shared`` of limit + shared segments."""
+def segment_distances(fp: str, limit: int = LIMIT, shared: int = 2):
+    """Array of one signature for each of limit + shared segments: its row of distances to
+    ``SEGMENT_REFERENCES`` references within the segment."""
     n = limit + shared
     cuts = [round(i * 64 / n) for i in range(n + 1)]
-    part = [F.shiftrightunsigned(F.col(fp), cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)) for i in range(n)]
-    keys = []
-    for t, chosen in enumerate(combinations(range(n), shared)):
-        key = F.lit(0).cast("long")
-        for i in chosen:
-            key = F.shiftleft(key, cuts[i + 1] - cuts[i]).bitwiseOR(part[i])
-        keys.append(F.struct(F.lit(t).alias("tab"), key.alias("key")))
+    found = []
+    for low, high in zip(cuts, cuts[1:]):
+        mask = ((1 << high) - 1) ^ ((1 << low) - 1)
+        signed = [x - (1 << 64) if x >> 63 else x for x in (int(r) & mask for r in _references(SEGMENT_REFERENCES))]
+        inside = F.col(fp).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+        found.append(F.xxhash64(*[F.bit_count(inside.bitwiseXOR(F.lit(r))) for r in signed]))
+    return F.array(*found)
+
+
+def segment_keys(signatures: str, limit: int = LIMIT, shared: int = 2):
+    """Array of (tab, key): a key for each choice of ``shared`` of limit + shared segments.
+
+    Keys are hashes of distances: two that clash bring together pairs that are then discarded.
+    """
+    s = F.col(signatures)
+    keys = [F.struct(F.lit(t).alias("tab"), F.xxhash64(*[s[i] for i in chosen]).alias("key")) for t, chosen in enumerate(combinations(range(limit + shared), shared))]
     return F.array(*keys)
 
 
@@ -164,13 +177,15 @@ def fingerprint_links(distinct: DataFrame, limit: int = LIMIT, block: int = BLOC
 
     ``distinct`` has one row per fingerprint in ``fp``.
     """
-    keyed = distinct.select("fp", F.explode(segment_keys("fp", limit, shared)).alias("k")).select("fp", "k.tab", "k.key")
+    table = materialize(distinct.select("fp", segment_distances("fp", limit, shared).alias("signatures")), "distances")
+    keyed = table.select("fp", F.explode(segment_keys("signatures", limit, shared)).alias("k")).select("fp", "k.tab", "k.key")
     hot = (
         keyed.groupBy("tab", "key")
         .count()
         .filter(F.col("count") > block)
         .select("tab", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     )
+    hot = materialize(hot, "hot-keys")  # at most a row for each ``block`` keys
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     plain = keyed.join(hot, ["tab", "key"], "left_anti").select("tab", "key", F.lit(0).alias("bi"), F.lit(0).alias("bj"), "fp")
     dealt = (
@@ -215,8 +230,8 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "fingerprint-classes")
     parts = connected_components(fingerprint_links(nodes.select("fp"), limit, shared=shared_segments(nodes.count(), limit)))
     labelled = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "least_id", F.coalesce("component", "fp").alias("label"))
-    names = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    by_fp = labelled.join(names, "label").select("fp", "component_id")
+    names = materialize(labelled.groupBy("label").agg(F.min("least_id").alias("component_id")), "names")
+    by_fp = materialize(labelled.join(names, "label").select("fp", "component_id"), "named")  # a shuffle apart from the sums: it may be split
     return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

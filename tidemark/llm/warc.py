@@ -317,12 +317,13 @@ def convert(folder: str, files: DataFrame, min_bytes: int = 0) -> tuple[str, Dat
     out = _folder(spark, "warc")
     records = materialize(scan_arc(folder, files), "arc-records")
     place = F.struct("id", "file", "offset")
-    whole = (
+    whole = materialize(  # written, so that the join below has a shuffle of its own, which may be split
         records.filter(F.col("size") >= min_bytes)
         .groupBy("sha", "size")
         .agg(F.count("*").alias("n"), F.max_by(F.struct("id", "file", "offset", "url", "at"), place).alias("to"))
         .filter("n > 1")
-        .select("sha", "size", "to")
+        .select("sha", "size", "to"),
+        "kept-whole",
     )
     same = (F.col("to.file") == F.col("file")) & (F.col("to.offset") == F.col("offset"))
     revisits = records.join(whole, ["sha", "size"]).filter(~same).select("file", F.struct("offset", "to").alias("x"))
