@@ -54,11 +54,9 @@ def test_against_brute_force(spark, monkeypatch, window, gram):
     assert run(spark, rows, window=window, gram=gram) == brute(rows, window)
 
 
-@pytest.mark.parametrize("group,least,most", [(3, 40, 200), (20000, 2, 10**6), (2, 3, 10**6), (20000, 2, 5)])
-def test_large_groups_and_common_keys(spark, monkeypatch, group, least, most):
-    monkeypatch.setattr(sub, "COMMON_MOST", most)
+@pytest.mark.parametrize("group", [1, 3, 20, 4000])
+def test_lengthened_prefixes(spark, monkeypatch, group):
     monkeypatch.setattr(sub, "GROUP", group)
-    monkeypatch.setattr(sub, "COMMON_LEAST", least)
     monkeypatch.setattr(sub, "CHUNK_BYTES", 5000)
     rows = corpus(77)
     assert run(spark, rows) == brute(rows, 13)
@@ -73,7 +71,46 @@ def test_empty_and_digest(spark):
     assert sub.dedup_substrings(df.limit(0)).count() == 0
 
 
-def test_subtree():
-    texts = [b"a b c d e", b"x b c d y", b"b c d"]
-    nodes = sorted(sorted(n) for n in sub.Subtree(texts, 3).repeats())
-    assert nodes == [[(0, 1), (1, 1), (2, 0)]]
+def naive_nodes(texts, window):
+    """Sets of words at least ``window`` long in which suffixes branch, with their places."""
+    words = [t.split(b" ") for t in texts]
+    places = {}
+    for t, w in enumerate(words):
+        for i in range(len(w) - window + 1):
+            for j in range(i + window, len(w) + 1):
+                places.setdefault(tuple(w[i:j]), []).append((t, i))
+    nodes = {}
+    for seq, at in places.items():
+        nexts = [words[t][i + len(seq)] if i + len(seq) < len(words[t]) else (t, i) for t, i in at]
+        if len(at) > 1 and len(set(nexts)) > 1:
+            nodes[seq] = sorted(at)
+    return words, nodes
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_subtree(seed):
+    rng = random.Random(seed)
+    texts = list({b" ".join(rng.choice([b"a", b"b", b"b\x01", b"bb"]) for _ in range(rng.randint(1, 12))) for _ in range(8)})
+    tree = sub.Subtree(texts, 3)
+    words, nodes = naive_nodes(texts, 3)
+    got = {tuple(words[tree.leaves[a][0]][tree.leaves[a][1] : tree.leaves[a][1] + d]): sorted(tree.leaves[a:b]) for d, a, b in tree.nodes()}
+    assert got == nodes
+    groups = {}
+    for t, w in enumerate(words):
+        for i in range(len(w) - 2):
+            groups.setdefault(tuple(w[i : i + 3]), []).append((t, i))
+    assert sorted(sorted(n) for n in tree.repeats()) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
+    maximal = {s: at for s, at in nodes.items() if len({words[t][i - 1] if i else (t,) for t, i in at}) > 1}
+    assert {tuple(s.split(b" ")): sorted(at) for s, at in tree.maximal_repeats()} == maximal
+
+
+def test_a_run_is_counted_once_a_chunk(spark, monkeypatch):
+    """A passage in all documents sends a row for each chunk."""
+    monkeypatch.setattr(sub, "CHUNK_BYTES", 4000)
+    passage = " ".join(f"p{i}" for i in range(30))
+    df = spark.createDataFrame([(i, f"start {i} {passage} end {i}") for i in range(400)], "doc_id long, text string").repartition(4)
+    folder, table = sub.write_chunks(df.selectExpr("doc_id", "CAST(text AS BINARY) AS text"))
+    chunks = table.filter("file IS NOT NULL").selectExpr("chunk", "file", "CAST(NULL AS array<int>) AS copies")
+    counts = sub.prefix_counts(folder, chunks, chunks.count(), 13, 6).toPandas()
+    hot = counts.groupby("key").docs.agg(["sum", "count"])
+    assert hot["sum"].max() == 400 and hot["count"].max() == chunks.count() >= 8

@@ -74,13 +74,13 @@ def shared_file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def run_per_file(df: DataFrame, work, schema: str) -> DataFrame:
-    """``mapInArrow`` with about as many tasks as there are rows; a row describes a file.
+def run_per_file(df: DataFrame, work, schema: str, files: int | None = None) -> DataFrame:
+    """``mapInArrow`` with about as many tasks as there are rows, ``files`` of them; a row describes a file.
 
     The rows are few (a file each), so dealing them out costs nothing, and no task gets more
     than its share of files.
     """
-    n = max(1, min(df.count(), 16 * shuffle_partitions(df.sparkSession)))
+    n = max(1, min(df.count() if files is None else files, 16 * shuffle_partitions(df.sparkSession)))
     return df.repartition(n).mapInArrow(work, schema)
 
 
