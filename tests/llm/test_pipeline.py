@@ -47,9 +47,9 @@ def test_near_duplicates(outputs):
     assert set(after.doc_id) == want
 
 
-def test_pii(outputs):
+def test_pii(spark, outputs):
     before, after = outputs[2:4]
-    make, was = pii.Surrogates(pii.DEMO_KEY), dict(zip(before.doc_id, before.text))
+    make, was = pii.Surrogates(pii.session_key(spark)), dict(zip(before.doc_id, before.text))
     assert len(before) == len(after)
     for r in after.itertuples():
         assert r.text == pii.replace(make, was[r.doc_id])[0] and r.n_chars == len(r.text)

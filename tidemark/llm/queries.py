@@ -42,7 +42,7 @@ def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.replace_pii(docs).withColumn("n_entities", F.size("entities").cast("long"))
+    return pii.replace_pii(docs, pii.session_key(spark)).withColumn("n_entities", F.size("entities").cast("long"))
 
 
 def op7_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
