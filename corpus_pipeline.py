@@ -30,7 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Surrogates in place of personal data; ``n_chars`` counts the new text."""
-    return pii.replace_pii(docs, entities=None).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    return pii.replace_pii(docs, pii.session_key(spark), entities=None).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
