@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import schemas
-from tidemark.functions.aggregates import n_unique, nearest_quantiles
-from tidemark.functions.ranking import global_rank, magnitude_bucket, range_bucket, text_bucket
+from tidemark.functions import ranking
+from tidemark.functions.aggregates import n_unique, quantiles
+from tidemark.functions.ranking import common_prefix, global_rank, text_number
 from tidemark.functions.scalars import any_true, clip, fold, null_tokens
 from tidemark.functions.timeparts import beijing_date, iso_weekday, midnight, midnight_epoch
 from tidemark.operators import base, behavior, calibrate, encode, metrics, models, pastctr, quality
@@ -38,30 +39,41 @@ def test_scalars(spark):
     assert df.agg(n_unique(F.col("p"))).first()[0] == 4
 
 
-def test_nearest_quantiles(spark):
+def test_quantiles(spark):
     rng = random.Random(1)
-    data = [(g, rng.choice([1.0, 2.0, 3.5, 7.0, None])) for g in "ab" for _ in range(57)]
-    got = {r.g: (r.q_10, r.q_50, r.q_99) for r in nearest_quantiles(spark.createDataFrame(data, "g string, x double"), "x", [0.1, 0.5, 0.99], ["g"]).collect()}
-    for g in "ab":
+    data = [(g, rng.choice([1.0, 2.0, 3.5, 7.0, None])) for g in "ab" for _ in range(57)] + [("c", float(x)) for x in range(10)]
+    got = {r.g: (r.q_10, r.q_50, r.q_99, r.median) for r in quantiles(spark.createDataFrame(data, "g string, x double"), "x", [0.1, 0.5, 0.99], ["g"], median=True).collect()}
+    for g in "abc":
         v = sorted(x for h, x in data if h == g and x is not None)
-        assert got[g] == tuple(v[int(q * (len(v) - 1) + 0.5)] for q in (0.1, 0.5, 0.99))
+        assert got[g] == (*[v[int(q * (len(v) - 1) + 0.5)] for q in (0.1, 0.5, 0.99)], (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2)
+    assert quantiles(spark.createDataFrame(data, "g string, x double").limit(0), "x", [0.5], median=True).first().median is None
 
 
-def test_global_ranks(spark):
+def test_global_ranks(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "PARTS", 16)
     rng = random.Random(2)
-    words = sorted({"".join(rng.choice("aäbzZ0 ") for _ in range(rng.randint(0, 4))) for _ in range(300)}, key=lambda s: s.encode())
+    words = sorted({"Brand#" + "".join(rng.choice("aäbzZ0 ") for _ in range(rng.randint(0, 4))) for _ in range(300)}, key=lambda s: s.encode())
     df = spark.createDataFrame([(w,) for w in words], "w string").repartition(7)
-    got = sorted((r["rank"], r.w) for r in global_rank(df, text_bucket(F.col("w")), [F.col("w")]).collect())
-    assert got == list(enumerate(words))
-    nums = rng.sample(range(-1000, 100000), 500)
-    df = spark.createDataFrame([(n,) for n in nums], "n long")
-    got = sorted((r["rank"], r.n) for r in global_rank(df, range_bucket(F.col("n"), min(nums), max(nums)), [F.col("n")]).collect())
-    assert got == list(enumerate(sorted(nums)))
-    wide = nums + [-(2**60), 2**62, 0, -1, 8, 7, 2**53]
-    df2 = spark.createDataFrame([(n,) for n in set(wide)], "n long")
-    got = sorted((r["rank"], r.n) for r in global_rank(df2, magnitude_bucket(F.col("n")), [F.col("n")]).collect())
-    assert got == list(enumerate(sorted(set(wide))))
-    assert tables.with_row_index(df, ["n"]).agg(F.max("impression_id")).first()[0] == 499
+    assert common_prefix(words[0], words[-1]) == 6
+    for skip in (0, 6):
+        got = sorted((r["rank"], r.w) for r in global_rank(df, text_number(F.col("w"), skip), [F.col("w")]).collect())
+        assert got == list(enumerate(words))
+    nums = rng.sample(range(-1000, 100000), 500) + [-(2**60), 2**62, 2**62 + 1, 0, -1, 8, 7, 2**53]
+    df = spark.createDataFrame([(n,) for n in set(nums)], "n long")
+    got = sorted((r["rank"], r.n) for r in global_rank(df, F.col("n"), [F.col("n")]).collect())
+    assert got == list(enumerate(sorted(set(nums))))
+    assert tables.with_row_index(df, ["n"]).agg(F.max("impression_id")).first()[0] == len(set(nums)) - 1
+
+
+def test_equal_values_are_cut_by_key(spark):
+    """A constant column and values that crowd: ranks are right, and no bucket is large."""
+    rng = random.Random(4)
+    rows = [(i, 0.05) for i in range(3000)] + [(3000 + i, 0.05 + 1e-9 * rng.random()) for i in range(3000)] + [(6000 + i, rng.random()) for i in range(500)] + [(7000, float("nan"))]
+    df = spark.createDataFrame(rows, "k long, p double").repartition(5)
+    tagged = ranking.bucketed(df, F.col("p"), F.col("k"))
+    assert tagged.groupBy("__bucket").count().agg(F.max("count")).first()[0] < 200
+    got = sorted((r["rank"], r.k) for r in global_rank(df, F.col("p"), [F.col("p"), F.col("k")], key=F.col("k")).collect())
+    assert [k for _, k in got] == [k for k, _ in sorted(rows, key=lambda r: (r[1] != r[1], r[1], r[0]))] and [n for n, _ in got] == list(range(len(rows)))
 
 
 # ---- sources

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranking import bucketed, prefix_sums
+from tidemark.sources.scratch import keep
+
 
 def n_unique(c: Column) -> Column:
     """Distinct values, null counted as one."""
@@ -24,17 +27,22 @@ def weighted_mean(x: Column, w: Column) -> Column:
     return F.try_divide(F.sum(x * w), F.sum(F.when(x.isNotNull(), w)).cast("double"))
 
 
-def nearest_quantiles(df: DataFrame, column: str, quantiles: list[float], by: list[str] | None = None) -> DataFrame:
+def quantiles(df: DataFrame, column: str, nearest: list[float], by: list[str] | None = None, median: bool = False) -> DataFrame:
     """Quantiles by the nearest of the sorted values: index round(q (n - 1)), halves up.
 
-    One row for each combination of ``by``, columns ``q_<percent>``. Values are counted first,
-    so ranks run over distinct values and not over rows.
+    One row for each combination of ``by`` with a value, columns ``q_<percent>``; with
+    ``median`` the mean of the two middle values, too. Values are counted first and counts summed
+    up in buckets, so no task sees all rows or all distinct values.
     """
     by = by or []
-    counts = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
-    order = Window.partitionBy(*by).orderBy("__v")
-    whole = Window.partitionBy(*by)
-    ranked = counts.withColumn("__upto", F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__total", F.sum("__n").over(whole))
-    place = lambda q: F.floor(q * (F.col("__total") - 1) + 0.5) + 1
-    picks = [F.min(F.when(F.col("__upto") >= place(q), F.col("__v"))).alias(f"q_{round(q * 100)}") for q in quantiles]
-    return ranked.groupBy(*by).agg(*picks) if by else ranked.agg(*picks)
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    counts = keep(counts, "value-counts")
+    ranked = prefix_sums(bucketed(counts, F.col("__v")), [F.col("__v")], {"__before": F.col("__n")}, by)
+    sizes = counts.withColumn("__one", F.lit(1)).groupBy("__one", *by).agg(F.sum("__n").alias("__total"))  # a row for each segment
+    sized = ranked.withColumn("__one", F.lit(1)).join(F.broadcast(sizes), ["__one", *by])
+    at = lambda place: F.min(F.when(F.col("__before") + F.col("__n") > place, F.col("__v")))
+    last = F.col("__total") - 1
+    picks = [at(F.floor(q * last + 0.5)).alias(f"q_{round(q * 100)}") for q in nearest]
+    if median:
+        picks.append(((at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2).alias("median"))
+    return sized.groupBy(*by).agg(*picks) if by else sized.agg(*picks)

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.ranking import global_rank, magnitude_bucket, text_bucket
+from tidemark.functions.aggregates import quantiles
+from tidemark.functions.ranking import common_prefix, global_rank, text_number
 from tidemark.functions.scalars import log1p_float
 from tidemark.operators.base import if_small
 from tidemark.schemas import BINARY, CATEGORICAL, ENTITIES, FIRST_INDEX, FIXED_DOMAINS, MODEL_COUNTS, RECENCIES, RECENCY_FILL, UNKNOWN, index_name
+from tidemark.sources.scratch import keep
 
 
 def _fixed(spark: SparkSession, feature: str) -> DataFrame:
@@ -31,10 +33,14 @@ def vocabularies(train: DataFrame, features: list[str] = CATEGORICAL) -> dict[st
         text = lambda f: isinstance(types[f], T.StringType)
         null = F.lit(None)
         arms = [F.struct(F.lit(f).alias("feature"), (null if text(f) else F.col(f)).cast("long").alias("num"), (F.col(f) if text(f) else null).cast("string").alias("txt")) for f in learnt]
-        values = train.select(F.explode(F.array(*arms)).alias("x")).select("x.*").filter("num IS NOT NULL OR txt IS NOT NULL").distinct()
-        bucket = F.when(F.col("num").isNull(), text_bucket(F.col("txt"))).otherwise(magnitude_bucket(F.col("num")))
-        ranked = global_rank(values, bucket, [F.col("num"), F.col("txt")], "idx", ["feature"]).persist()
-        ranked.count()  # joins are planned by the size it turns out to have
+        values = keep(train.select(F.explode(F.array(*arms)).alias("x")).select("x.*").filter("num IS NOT NULL OR txt IS NOT NULL").distinct(), "values")
+        ends = values.filter("txt IS NOT NULL").groupBy("feature").agg(F.min("txt").alias("a"), F.max("txt").alias("b")).collect()  # a row for each text feature
+        skip = F.lit(0)
+        for r in ends:
+            skip = F.when(F.col("feature") == r["feature"], common_prefix(r["a"], r["b"])).otherwise(skip)
+        number = F.when(F.col("num").isNull(), text_number(F.col("txt"), skip)).otherwise(F.col("num"))
+        # joins are planned by the size it turns out to have
+        ranked = keep(global_rank(values, number, [F.col("num"), F.col("txt")], "idx", ["feature"]), "vocabularies")
         for f in learnt:
             value = F.col("txt") if text(f) else F.col("num").cast(types[f])
             out[f] = ranked.filter(F.col("feature") == f).select(value.alias(f), (F.col("idx") + FIRST_INDEX).alias("idx"))
@@ -46,8 +52,10 @@ def vocabulary(train: DataFrame, feature: str) -> DataFrame:
     if feature in FIXED_DOMAINS:
         return _fixed(train.sparkSession, feature)
     values = train.filter(F.col(feature).isNotNull()).select(feature).distinct()
-    bucket = text_bucket if isinstance(values.schema[0].dataType, T.StringType) else magnitude_bucket
-    ranked = global_rank(values, bucket(F.col(feature)), [F.col(feature)], "idx")
+    number = F.col(feature)
+    if isinstance(values.schema[0].dataType, T.StringType):
+        number = text_number(number, common_prefix(*values.agg(F.min(feature), F.max(feature)).first()))
+    ranked = global_rank(values, number, [F.col(feature)], "idx")
     return ranked.withColumn("idx", F.col("idx") + FIRST_INDEX)
 
 
@@ -64,7 +72,7 @@ def encode(df: DataFrame, maps: dict[str, DataFrame]) -> DataFrame:
 
 
 def train_median(train: DataFrame, column: str = "log_price") -> float | None:
-    return train.agg(F.median(F.col(column).cast("double"))).first()[0]
+    return quantiles(train, column, [], median=True).first()[0]
 
 
 def model_input(features: DataFrame, maps: dict[str, DataFrame], price_fill: float | None) -> DataFrame:

@@ -6,12 +6,16 @@ columns in ``by``. Rankings run over distinct scores, in buckets; no window sees
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranking import global_rank, prefix_sums, unit_bucket
+from tidemark.functions.ranking import bucketed, global_rank, prefix_sums
 from tidemark.functions.scalars import clip, invalid_probability, ratio
 from tidemark.schemas import EPS
+from tidemark.sources.scratch import keep
 
 
 def _y() -> Column:
@@ -38,9 +42,9 @@ def ranking_metrics(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     Average precision is null without a positive row only.
     """
     by = by or []
-    scores = _scores(df, by)
-    rising = prefix_sums(scores, unit_bucket(F.col("score")), [F.col("score")], {"below": F.col("neg")}, by)
-    falling = prefix_sums(rising, unit_bucket(F.col("score")), [F.desc("score")], {"pos_above": F.col("pos"), "all_above": F.col("pos") + F.col("neg")}, by, descending=True)
+    scores = bucketed(keep(_scores(df, by), "scores"), F.col("score"))
+    rising = prefix_sums(scores, [F.col("score")], {"below": F.col("neg")}, by)
+    falling = prefix_sums(rising, [F.desc("score")], {"pos_above": F.col("pos"), "all_above": F.col("pos") + F.col("neg")}, by, descending=True)
     hits = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0))
     pairs = F.sum("pos").cast("double") * F.sum("neg")
     precision = (F.col("pos_above") + F.col("pos")) / (F.col("all_above") + F.col("pos") + F.col("neg"))
@@ -93,9 +97,10 @@ def gauc(df: DataFrame, user: str = "user_raw", by: list[str] | None = None) ->
 
 
 def equal_count_bins(df: DataFrame, bins: int = 10, key: str = "impression_id", by: list[str] | None = None) -> DataFrame:
-    """``df`` with ``bin`` from 1: floor(rank bins / n) + 1 in the order of prediction and key."""
+    """``df`` with ``bin`` from 1: floor(rank bins / n) + 1 in the order of prediction and
+    key, which is a number."""
     by = by or []
-    ranked = global_rank(df, unit_bucket(F.col("prediction")), [F.col("prediction"), F.col(key)], "__rank", by)
+    ranked = global_rank(df, F.col("prediction"), [F.col("prediction"), F.col(key)], "__rank", by, F.col(key))
     sizes = df.groupBy(*by).agg(F.count("*").alias("__n"))
     if by:
         sized = ranked.join(F.broadcast(sizes), by)  # a row for each segment
@@ -172,11 +177,12 @@ def bootstrap(df: DataFrame, rounds: int = 20, key: str = "impression_id", seed:
     """``round`` and the metrics' mean prediction, click rate and log loss of resampled rows.
 
     Each row's weight in a round is a Poisson draw of mean 1 from a hash of its key, so rounds
-    need no second copy of the table and come out the same however it is partitioned.
+    need no second copy of the table and come out the same however it is partitioned. Draws go
+    as far as 53 bits of a hash can tell, which is 17.
     """
-    draws = F.array(*[F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(r)), F.lit(1_000_000)) / 1_000_000.0 for r in range(rounds)])
-    # cumulative Poisson probabilities of 0 to 5
-    steps = [0.367879, 0.735759, 0.919699, 0.981012, 0.99634, 0.999406]
+    draws = F.array(*[F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed), F.lit(r)), 11) / float(1 << 53) for r in range(rounds)])
+    terms = [math.exp(-1) / math.factorial(k) for k in range(20)]
+    steps = [x for x in accumulate(terms) if x < 1 - 2.0**-53]  # probabilities of a draw of at most 0, 1, ...
     weight = sum([(F.col("u") >= F.lit(s)).cast("int") for s in steps[1:]], (F.col("u") >= F.lit(steps[0])).cast("int"))
     rows = df.select("clk", "prediction", F.posexplode(draws).alias("round", "u")).withColumn("w", weight).filter("w > 0")
     w = F.col("w")

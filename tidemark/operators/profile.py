@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.aggregates import n_unique, nearest_quantiles, null_count, rate
+from tidemark.functions.aggregates import n_unique, null_count, quantiles, rate
 from tidemark.functions.timeparts import beijing_date
 from tidemark.schemas import BTAGS, PRICE_SENTINEL
 
@@ -35,10 +35,10 @@ def price_profile(ads: DataFrame) -> DataFrame:
     """Prices with and without the sentinel, with exact quantiles of the clean ones."""
     clean = ads.filter(F.col("price") != PRICE_SENTINEL)
     whole = ads.agg(F.count("*").alias("rows"), null_count(F.col("price")).alias("null_price"), F.count_if(F.col("price") == PRICE_SENTINEL).alias("sentinels"), n_unique(F.col("brand")).alias("brands"))
-    some = clean.agg(F.min("price").alias("min"), F.avg("price").alias("mean"), F.median("price").alias("median"), F.max("price").alias("max"))
-    quantiles = nearest_quantiles(clean, "price", [0.01, 0.25, 0.75, 0.95, 0.99])
+    some = clean.agg(F.min("price").alias("min"), F.avg("price").alias("mean"), F.max("price").alias("max"))
+    places = quantiles(clean, "price", [0.01, 0.25, 0.75, 0.95, 0.99], median=True)
     out = None
-    for wide in (whole, some, quantiles):
+    for wide in (whole, some, places):
         rows = _long(wide, wide.columns)
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -94,8 +94,8 @@ def numeric_profile(base: DataFrame, columns: list[str], by: str = "split") -> D
     """Nulls, moments and exact quantiles of several columns in one pass over (feature, value)."""
     arms = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
     long = base.select(by, F.explode(arms).alias("x")).select(by, "x.feature", "x.value")
-    plain = long.groupBy("feature", by).agg(null_count(F.col("value")).alias("nulls"), F.min("value").alias("min"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.max("value").alias("max"))
-    return plain.join(nearest_quantiles(long, "value", [0.95, 0.99], ["feature", by]), ["feature", by], "left")
+    plain = long.groupBy("feature", by).agg(null_count(F.col("value")).alias("nulls"), F.min("value").alias("min"), F.avg("value").alias("mean"), F.max("value").alias("max"))
+    return plain.join(quantiles(long, "value", [0.95, 0.99], ["feature", by], median=True), ["feature", by], "left")
 
 
 def coverage(features: DataFrame, flags: list[str], by: str = "split") -> DataFrame:
@@ -113,10 +113,11 @@ def history_profile(past: DataFrame, entities: list[str], weight: float = 100.0,
     long = past.select(by, F.explode(arms).alias("x")).select(by, "x.entity", "x.n")
     keys, has = ["entity", by], F.col("n") > 0
     plain = long.groupBy(*keys).agg(
-        F.count("*").alias("rows"), rate(has).alias("coverage"), F.median("n").alias("median"), F.max("n").alias("max"), rate(F.col("n") < 100).alias("below_100"),
-        F.median(F.when(has, F.col("n"))).alias("median_if_present"), F.avg(F.col("n") / (F.col("n") + weight)).alias("mean_own_weight"),
+        F.count("*").alias("rows"), rate(has).alias("coverage"), F.max("n").alias("max"), rate(F.col("n") < 100).alias("below_100"),
+        F.avg(F.col("n") / (F.col("n") + weight)).alias("mean_own_weight"),
     )
-    return plain.join(nearest_quantiles(long, "n", [0.9, 0.99], keys), keys)
+    present = quantiles(long.filter(has), "n", [], keys, median=True).withColumnRenamed("median", "median_if_present")
+    return plain.join(quantiles(long, "n", [0.9, 0.99], keys, median=True), keys).join(present, keys, "left")
 
 
 def unknown_rates(inputs: DataFrame, indices: list[str], by: str = "split") -> DataFrame:

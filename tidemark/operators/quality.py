@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import any_true, invalid_probability
 from tidemark.schemas import BTAGS, COUNTS, METRICS, RECENCIES, WINDOWS
+from tidemark.sources.tables import seeded
 
 
 def violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
@@ -106,7 +107,7 @@ def hash_sample(df: DataFrame, by: str, key: str, n: int, seed: int = 42) -> Dat
     """``n`` keys of each ``by``, those with the smallest hash: the same however it is run."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy(by).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    order = Window.partitionBy(by).orderBy(seeded(key, seed), key)
     return df.select(by, key).distinct().withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= n).drop("__r")
 
 

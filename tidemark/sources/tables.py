@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,23 +90,26 @@ def row_count(spark: SparkSession, path: str) -> int:
     return spark.read.parquet(path).count()
 
 
+def seeded(key: str, seed: int) -> Column:
+    """A sort key that any engine can compute: the MD5 sum of seed and key."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+
+
 def shuffled(df: DataFrame, key: str, seed: int, most: int | None = None) -> DataFrame:
     """Rows in a seeded order, the same however they are partitioned; at most ``most``."""
-    ordered = df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    ordered = df.orderBy(seeded(key, seed), key)
     return ordered if most is None else ordered.limit(most)
 
 
 def with_row_index(df: DataFrame, order: list[str], name: str = "impression_id") -> DataFrame:
     """Row numbers from 0 by a natural key: Spark's files have no order of their own.
 
-    The sort is by ranges; numbers within a partition and the rows before it are added up, so
-    no task sees all rows.
+    ``order`` begins with a number. Numbers within a bucket and the rows before it are added
+    up, so no task sees all rows.
     """
-    from tidemark.functions.ranking import global_rank, range_bucket
+    from tidemark.functions.ranking import global_rank
 
-    low, high = df.agg(F.min(order[0]).cast("double"), F.max(order[0]).cast("double")).first()
-    bucket = range_bucket(F.col(order[0]), low or 0.0, high or 0.0)
-    return global_rank(df, bucket, order, name)
+    return global_rank(df, F.col(order[0]), order, name)
 
 
 def union_splits(frames: list[DataFrame]) -> DataFrame:
