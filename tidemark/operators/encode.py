@@ -47,6 +47,16 @@ def vocabularies(train: DataFrame, features: list[str] = CATEGORICAL) -> dict[st
     return {f: out[f] for f in features}
 
 
+def vocabulary_sizes(maps: dict[str, DataFrame]) -> dict[str, int]:
+    """Indices of each feature, the two reserved ones among them, by one grouped count."""
+    parts = None
+    for f, m in maps.items():
+        rows = m.select(F.lit(f).alias("feature"))
+        parts = rows if parts is None else parts.unionByName(rows)
+    found = {r["feature"]: r["count"] for r in parts.groupBy("feature").count().collect()}  # a row for each feature
+    return {index_name(f): found.get(f, 0) + FIRST_INDEX for f in maps}
+
+
 def vocabulary(train: DataFrame, feature: str) -> DataFrame:
     """The vocabulary of one feature, as a plan that isn't kept."""
     if feature in FIXED_DOMAINS:

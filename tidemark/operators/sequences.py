@@ -29,7 +29,9 @@ def attach_sequences(base: DataFrame, sequences: DataFrame, most: int, days: int
     """Base rows with ``sequence``: the last ``most`` tags of the ``days`` before their date."""
     keys = base.select("user_raw", "event_date_bj").distinct()
     past = sequences.select("user_raw", F.col("event_date_bj").alias("day"), "events")
-    near = keys.join(past, "user_raw").filter((F.col("day") < F.col("event_date_bj")) & (F.col("day") >= F.date_sub("event_date_bj", days)))
+    # a row for each day looked back to, so that both columns are keys of the join
+    wanted = keys.withColumn("day", F.explode(F.sequence(F.date_sub("event_date_bj", days), F.date_sub("event_date_bj", 1))))
+    near = wanted.join(past, ["user_raw", "day"])
     joined = near.groupBy("user_raw", "event_date_bj").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("day", "events"))), lambda x: x["events"])).alias("events"))
     tail = F.slice("events", F.greatest(F.size("events") - most + 1, F.lit(1)), most)
     found = joined.select("user_raw", "event_date_bj", F.transform(tail, lambda x: x["btag"]).alias("sequence"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import fold, logit
-from tidemark.functions.timeparts import midnight_epoch, text_in_two_zones
+from tidemark.functions.timeparts import beijing_date, midnight_epoch, split_of, text_in_two_zones
 from tidemark.operators import base as B
 from tidemark.operators import behavior as W
 from tidemark.operators import calibrate as C
@@ -28,6 +28,7 @@ from tidemark.operators import quality as Q
 from tidemark.plans import oracle as O
 from tidemark.schemas import BINARY, CATEGORICAL, COUNTS, ENTITIES, HISTORY_FLAGS, METRICS, NUMERIC, PROFILE, RECENCIES, WINDOWS, index_name
 from tidemark.sources import fixtures as X
+from tidemark.sources.scratch import keep
 
 Plan = Callable[[SparkSession, str], DataFrame]
 SPARK_TYPES = {"l": "bigint", "s": "string", "t": "date", "n": "timestamp_ntz", "b": "boolean"}
@@ -93,18 +94,25 @@ def with_windows(s, d, table):
     return W.attach_windows(table, W.behavior_windows(daily(s, d), keys))
 
 
-def impressions(s, d):
-    return cold_base(s, d).filter(F.col("split").isin(X.SPLITS)).select("impression_id", "event_date_bj", "split", "clk", *ENTITIES.values())
+def impressions(s, d, cold=None):
+    return (cold or cold_base(s, d)).filter(F.col("split").isin(X.SPLITS)).select("impression_id", "event_date_bj", "split", "clk", *ENTITIES.values())
 
 
-def past(s, d):
-    return P.past_features(impressions(s, d))
+def past(s, d, cold=None):
+    return P.past_features(impressions(s, d, cold))
 
 
-def inputs(s, d):
-    features = with_windows(s, d, cold_base(s, d)).filter(F.col("split").isin(X.SPLITS))
-    train = cold_base(s, d).filter("split = 'train'")
-    return E.model_input(features, E.vocabularies(train), E.train_median(train))
+def inputs(s, d, cold=None, maps=None):
+    """Model inputs; the base is written once and read by all that follows."""
+    cold = cold or keep(cold_base(s, d), "base")
+    features = with_windows(s, d, cold.filter(F.col("split").isin(X.SPLITS)))
+    train = cold.filter("split = 'train'")
+    return E.model_input(features, maps or E.vocabularies(train), E.train_median(train))
+
+
+def f3_inputs(s, d):
+    cold = keep(cold_base(s, d), "base")
+    return E.with_past(inputs(s, d, cold), past(s, d, cold))
 
 
 def predictions(s, d):
@@ -194,8 +202,9 @@ def beijing_times(s, d):
 @query("s: check; l: violations", O.checks("base", {"missing_ad": "cate_id_raw IS NULL", "hour_range": "NOT hour BETWEEN 0 AND 23", "weekday_range": "NOT day_of_week BETWEEN 1 AND 7", "sentinel_left": "price_clean >= 99999999", "profile_flag": "has_profile <> CAST(cms_segid IS NOT NULL AS INTEGER)"}) + " UNION ALL SELECT 'rows/' || split, 0 FROM base GROUP BY split")
 def base_validation(s, d):
     b = base(s, d)
-    again = b.select("impression_id", "split").unionByName(b.select("impression_id", "split")).distinct()
-    return Q.base_checks(b).unionByName(Q.row_conservation(b, again, ["split"], "rows"))
+    # the sample before any join, its split from its own times, against the base after them
+    sample = X.raw_sample(s, d).select(split_of(beijing_date(F.col("time_stamp")), X.TRAIN, X.VAL, X.TEST).alias("split"))
+    return Q.base_checks(b).unionByName(Q.row_conservation(sample, b, ["split"], "rows"))
 
 
 @query("s: split; l: rows clicks; d: ctr; t: first_date last_date", "SELECT split, count(*) AS rows, sum(clk) AS clicks, avg(clk) AS ctr, min(event_date_bj) AS first_date, max(event_date_bj) AS last_date FROM base GROUP BY split")
@@ -339,9 +348,10 @@ query("l: impression_id clk " + " ".join([*_INDEX, *BINARY]) + "; t: event_date_
 
 @query("s: check; l: violations", O.checks("minput", {**{f"{i}_range": f"{i} < 1 OR {i} >= (SELECT count(*) + 2 FROM v_{f})" for i, f in zip(_INDEX, CATEGORICAL)}, "weekday_unknown": "day_of_week_idx = 1"}) + " UNION ALL " + O.checks("minput", {f"{c}_not_finite": f"{c} IS NULL OR NOT isfinite(CAST({c} AS DOUBLE))" for c in [*BINARY, *_NUM]}))
 def model_input_checks(s, d):
-    train = cold_base(s, d).filter("split = 'train'")
-    sizes = {index_name(f): v.count() + 2 for f, v in E.vocabularies(train).items()}
-    table = inputs(s, d)
+    cold = keep(cold_base(s, d), "base")
+    maps = E.vocabularies(cold.filter("split = 'train'"))
+    sizes = E.vocabulary_sizes(maps)
+    table = inputs(s, d, cold, maps)
     return Q.index_checks(table, sizes).unionByName(Q.feature_checks(table, [*BINARY, *_NUM]))
 
 
@@ -412,7 +422,7 @@ _F3N, _F3B = E.past_inputs()
 
 @query("l: impression_id clk " + " ".join([*_INDEX, *BINARY, *_F3B]) + "; f: " + " ".join([*_NUM, *_F3N]), "SELECT * FROM f3")
 def f3_model_input(s, d):
-    return E.with_past(inputs(s, d), past(s, d))
+    return f3_inputs(s, d)
 
 
 # ---- metrics
