@@ -1,9 +1,9 @@
 """Models of click probability on Spark ML, grids over them, and the choice of a run.
 
-Objectives are those of the averaged stochastic gradient descent, boosted trees and
-factorisation machines asked for; the optimisers are Spark's, so metrics agree and weights
-need not. High-cardinality ids enter trees as past click rates: a categorical split of Spark
-needs a bin for every value.
+The optimisers here are Spark's; :mod:`tidemark.operators.networks` has averaged gradient
+descent and embeddings. Trees take categories of up to ``MOST_BINS`` values as they are; those
+with more enter them as past click rates, as a categorical split of Spark needs a bin for every
+value.
 """
 
 from __future__ import annotations
@@ -26,12 +26,14 @@ from tidemark.schemas import UNKNOWN
 from tidemark.sources.tables import read_manifest, write_manifest
 
 SMOKE_ROWS = 10_000
+#: Values of a category up to which trees split by it.
+MOST_BINS = 256
 
 
 def _features(columns: dict[str, list[str]], sizes: dict[str, int], one_hot: bool) -> list:
     dense = [*columns["binary"], *columns["numeric"]]
     if not one_hot:
-        return [VectorAssembler(inputCols=dense, outputCol="features", handleInvalid="keep")]
+        return [VectorAssembler(inputCols=[*sizes, *dense], outputCol="features", handleInvalid="keep")]
     names = [c for c in columns["categorical"] if c in sizes]
     hot = [f"{c}_hot" for c in names]
     return [OneHotEncoder(inputCols=names, outputCols=hot, dropLast=False, handleInvalid="keep"), VectorAssembler(inputCols=[*hot, *dense], outputCol="features")]
@@ -60,13 +62,21 @@ def train(df: DataFrame, kind: str, columns: dict[str, list[str]], sizes: dict[s
     """Fits on ``df``; gives a function that adds ``prediction`` to a table.
 
     Numerics are scaled by what ``df`` holds. ``sizes`` are vocabulary sizes with the two
-    reserved indices, of the categories to encode one by one; without them categories stay
+    reserved indices, of the categories to encode one by one, or for trees to split by where
+    there are at most ``MOST_BINS`` values; without them, and for perceptrons, categories stay
     out. Trees with a validation table stop when it no longer improves.
     """
     sizes = sizes or {}
     indices = [c for c in columns["categorical"] if c in sizes]
     stats = scaler(df, columns["numeric"])
-    ready = lambda t: neutral_unknown(scaled(t, stats), indices, sizes).withColumn("clk", F.col("clk").cast("double"))
+    if kind in ("gbt", "mlp"):
+        indices = [c for c in indices if kind == "gbt" and sizes[c] <= MOST_BINS]
+        if indices:
+            params = {"maxBins": max(32, *[sizes[c] for c in indices])} | params
+        nominal = lambda c: F.col(c).alias(c, metadata={"ml_attr": {"type": "nominal", "name": c, "num_vals": sizes[c]}})
+        ready = lambda t: scaled(t, stats).withColumns({c: nominal(c) for c in indices}).withColumn("clk", F.col("clk").cast("double"))
+    else:
+        ready = lambda t: neutral_unknown(scaled(t, stats), indices, sizes).withColumn("clk", F.col("clk").cast("double"))
     one_hot = kind in ("lr", "fm") and bool(indices)
     rows = ready(df)
     if kind == "gbt" and validation is not None:
@@ -74,41 +84,18 @@ def train(df: DataFrame, kind: str, columns: dict[str, list[str]], sizes: dict[s
         params["validationIndicatorCol"] = "__held"
     if kind == "mlp":
         params.setdefault("layers", [len(columns["binary"]) + len(columns["numeric"]), 16, 8, 2])
-    model = Pipeline(stages=[*_features(columns, sizes, one_hot), estimator(kind, **params)]).fit(rows)
+    model = Pipeline(stages=[*_features(columns, {c: sizes[c] for c in indices}, one_hot), estimator(kind, **params)]).fit(rows)
     score = lambda t: model.transform(ready(t)).withColumn("__p", vector_to_array("probability")[1])
 
     def apply(t: DataFrame) -> DataFrame:
         return score(t).select("impression_id", F.col("clk").cast("int").alias("clk"), "split", F.col("__p").cast("float").alias("prediction"))
 
-    apply.model, apply.dense = model.stages[-1], [*columns["binary"], *columns["numeric"]]
-    return apply
-
-
-def wide_and_deep(df: DataFrame, columns: dict[str, list[str]], sizes: dict[str, int], deep: bool = True) -> Callable[[DataFrame], DataFrame]:
-    """A linear one-hot part and a perceptron over dense inputs, joined by a logistic layer.
-
-    Spark has no embeddings: the pairwise term of factorisation machines stands for them where
-    ``deep`` is false.
-    """
-    wide = train(df, "lr", columns, sizes)
-    other = train(df, "mlp", columns) if deep else train(df, "fm", columns, sizes)
-    z = lambda p: F.ln(p / (1 - p))
-    held = lambda c: F.least(F.greatest(F.col(c).cast("double"), F.lit(1e-6)), F.lit(1 - 1e-6))
-
-    def both(t: DataFrame) -> DataFrame:
-        a, b = wide(t), other(t).select("impression_id", F.col("prediction").alias("__other"))
-        return a.join(b, "impression_id").withColumns({"__a": z(held("prediction")), "__b": z(held("__other"))}).drop("prediction", "__other")
-
-    top = Pipeline(stages=[VectorAssembler(inputCols=["__a", "__b"], outputCol="features"), estimator("lr")]).fit(both(df).withColumn("clk", F.col("clk").cast("double")))
-
-    def apply(t: DataFrame) -> DataFrame:
-        return top.transform(both(t)).select("impression_id", "clk", "split", vector_to_array("probability")[1].cast("float").alias("prediction"))
-
+    apply.model, apply.dense = model.stages[-1], [*([] if one_hot else indices), *columns["binary"], *columns["numeric"]]
     return apply
 
 
 def importances(apply: Callable) -> DataFrame:
-    """``feature``, ``gain`` of a tree model's dense inputs."""
+    """``feature``, ``gain`` of a tree model's inputs."""
     spark = SparkSession.getActiveSession()
     return spark.createDataFrame([(f, float(g)) for f, g in zip(apply.dense, apply.model.featureImportances.toArray())], "feature string, gain double")
 
@@ -130,6 +117,21 @@ def grid(run: Callable[..., DataFrame], configs: list[dict[str, Any]], done: Cal
     return out
 
 
+def refuse_left_predictions(spark: SparkSession, folder: str, split: str = "test") -> None:
+    """Raises if a folder of tuning runs holds a file or folder named for the frozen split."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return
+    wait = [path]
+    while wait:
+        for found in fs.listStatus(wait.pop()):
+            if split in found.getPath().getName().lower():
+                raise ValueError(f"{found.getPath()} is there before the {split} split may be seen")
+            if found.isDirectory():
+                wait.append(found.getPath())
+
+
 def select_near_best(results: DataFrame, tolerance: float = 2e-4) -> DataFrame:
     """Best AUC among runs within ``tolerance`` of the least log loss; ties by log loss, config."""
     least = results.agg(F.min("logloss").alias("least"))

@@ -22,6 +22,7 @@ from tidemark.operators import calibrate as C
 from tidemark.operators import encode as E
 from tidemark.operators import metrics as M
 from tidemark.operators import models as K
+from tidemark.operators import networks as N
 from tidemark.operators import pastctr as P
 from tidemark.operators import profile as R
 from tidemark.operators import quality as Q
@@ -553,39 +554,58 @@ def calibrator_selection(s, d):
 
 
 def _f3(s, d):
-    return E.with_past(inputs(s, d), past(s, d)).fillna(0).cache()
+    """Inputs with past click rates, and the sizes of all vocabularies."""
+    cold = keep(cold_base(s, d), "base")
+    maps = E.vocabularies(cold.filter("split = 'train'"))
+    rows = keep(E.with_past(inputs(s, d, cold, maps), past(s, d, cold)).fillna(0), "model-inputs")
+    return rows, E.vocabulary_sizes(maps)
+
+
+def _part(rows, *splits):
+    return rows.filter(F.col("split").isin(*splits))
+
+
+def _scores(s, d, kind, **params):
+    rows, sizes = _f3(s, d)
+    return K.train(_part(rows, "train"), kind, E.feature_set("F1+F2+F3"), sizes, **params)(_part(rows, "val", "test"))
+
+
+def _network(s, d, **settings):
+    rows, sizes = _f3(s, d)
+    return N.train_network(_part(rows, "train"), _part(rows, "val"), E.feature_set("F1+F2+F3"), sizes, N.Settings(**settings))(_part(rows, "val", "test"))
 
 
-def _scores(s, d, kind, sizes=None, **params):
-    rows = _f3(s, d)
-    return K.train(rows.filter("split = 'train'"), kind, E.feature_set("F1+F2+F3"), sizes, **params)(rows.filter("split <> 'train'"))
+def _trees(s, d):
+    """Trees over past rates and the smaller categories, until validation no longer improves."""
+    rows, sizes = _f3(s, d)
+    return rows, K.train(_part(rows, "train"), "gbt", E.feature_set("F1+F2+F3"), sizes, validation=_part(rows, "val"))
 
 
-_SIZES = {"pid_idx": 4, "hour_idx": 26, "customer_idx": 19}
 _SCORE = "l: impression_id clk; s: split; d: prediction"
-query(_SCORE, None, "lr_scores")(lambda s, d: _scores(s, d, "lr", _SIZES))
-query(_SCORE, None, "gbt_scores")(lambda s, d: _scores(s, d, "gbt", maxIter=5))
-query(_SCORE, None, "fm_scores")(lambda s, d: _scores(s, d, "fm", _SIZES, maxIter=20))
-query(_SCORE, None, "mlp_scores")(lambda s, d: _scores(s, d, "mlp", maxIter=20))
+query(_SCORE, None, "lr_scores")(lambda s, d: _scores(s, d, "lr"))
+query(_SCORE, None, "fm_scores")(lambda s, d: _scores(s, d, "fm"))
+query(_SCORE, None, "mlp_scores")(lambda s, d: _scores(s, d, "mlp"))
+query(_SCORE, None, "asgd_scores")(lambda s, d: _network(s, d))
+query(_SCORE, None, "wide_deep_scores")(lambda s, d: _network(s, d, kind="wide_deep", rate=0.01, batch=256, penalty=1e-6))
+query(_SCORE, None, "deepfm_scores")(lambda s, d: _network(s, d, kind="deepfm", rate=0.01, batch=256, penalty=1e-6))
 
 
 @query(_SCORE, None)
-def wide_deep_scores(s, d):
-    rows = _f3(s, d)
-    return K.wide_and_deep(rows.filter("split = 'train'"), E.feature_set("F1+F2+F3"), _SIZES)(rows.filter("split <> 'train'"))
+def gbt_scores(s, d):
+    rows, trees = _trees(s, d)
+    return trees(_part(rows, "val", "test"))
 
 
 @query("s: feature; d: gain share", None)
 def feature_importance(s, d):
-    rows = _f3(s, d)
-    return R.importance_shares(K.importances(K.train(rows.filter("split = 'train'"), "gbt", E.feature_set("F1+F2+F3"), maxIter=5)))
+    return R.importance_shares(K.importances(_trees(s, d)[1]))
 
 
 @query("s: feature_set; l: rows clicks; d: auc logloss copc", None)
 def feature_set_ablation(s, d):
-    rows, out = _f3(s, d), None
+    (rows, sizes), out = _f3(s, d), None
     for name in ("F1", "F1+F2", "F1+F2+F3"):
-        row = M.metrics(K.train(rows.filter("split = 'train'"), "lr", E.feature_set(name), _SIZES)(rows.filter("split = 'val'"))).withColumn("feature_set", F.lit(name))
+        row = M.metrics(K.train(_part(rows, "train"), "lr", E.feature_set(name), sizes)(_part(rows, "val"))).withColumn("feature_set", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
 
