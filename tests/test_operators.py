@@ -334,3 +334,94 @@ def test_audits(spark):
     sample = quality.hash_sample(table, "event_date_bj", "user_raw", 5)
     got = {r.check: r.violations for r in quality.identity_audit(table, wrong, ["user_raw", "event_date_bj"], ["a", "b"], sample).collect()}
     assert got == {"a": 1, "b": 0}
+
+
+def test_platt_against_newton_steps(spark):
+    import numpy as np
+
+    rng = random.Random(21)
+    rows = [(i, int(rng.random() < 0.2 + 0.5 * (i % 10) / 10), (i % 10 + 0.5) / 10) for i in range(2000)]
+    df = spark.createDataFrame(rows, "impression_id long, clk int, prediction double")
+    z, y = np.array([np.log(p / (1 - p)) for *_, p in rows]), np.array([c for _, c, _ in rows])
+    x, w = np.stack([z, np.ones_like(z)], 1), np.zeros(2)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x, x.T @ (p - y))
+    got = {round(r.prediction, 6): r.calibrated for r in calibrate.fit_platt(df)(df).select("prediction", "calibrated").distinct().collect()}
+    for p, c in got.items():
+        assert abs(c - 1 / (1 + np.exp(-(w[0] * np.log(p / (1 - p)) + w[1])))) < 1e-4
+
+
+def test_isotonic_against_pooling(spark):
+    rng = random.Random(22)
+    rows = [(i, int(rng.random() < 0.3 + 0.4 * (i % 50) / 50), (i % 50 + 1) / 52) for i in range(1500)]
+    df = spark.createDataFrame(rows, "impression_id long, clk int, prediction double")
+    pools = []  # mean and weight, pooled while they fall
+    for p in sorted({p for *_, p in rows}):
+        tied = [c for _, c, q in rows if q == p]
+        pools.append([sum(tied) / len(tied), len(tied), [p]])
+        while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
+            (a, n, s), (b, m, t) = pools[-2:]
+            pools[-2:] = [[(a * n + b * m) / (n + m), n + m, s + t]]
+    want = {round(p, 9): max(1e-7, min(1 - 1e-7, a)) for a, _, s in pools for p in s}
+    got = {round(r.prediction, 9): r.calibrated for r in calibrate.fit_isotonic(df)(df).select("prediction", "calibrated").distinct().collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_selection_and_reliability_of_stages(spark):
+    rng = random.Random(23)
+    draw = lambda n, seed: spark.createDataFrame([(seed * 10**6 + i, int(rng.random() < 0.1 + 0.3 * (i % 100) / 100), (i % 100 + 0.5) / 100) for i in range(n)], "impression_id long, clk int, prediction double")
+    val, test = draw(3000, 1), draw(1000, 2)
+    kind, losses = calibrate.select_calibrator(val)
+    for k, fit in calibrate.CALIBRATORS.items():
+        held = fit(calibrate.selection_rows(val, chosen=False))(calibrate.selection_rows(val)).toPandas()
+        assert abs(metrics_of(held.clk, held.calibrated) - losses[k]) < 1e-12
+    assert losses[kind] == min(losses.values())
+    made = calibrate.fit_platt(val)(test).toPandas()
+    got = {(r.stage, r.bin): r for r in calibrate.reliability_of_stages(val, test).collect()}
+    for stage, column in (("raw", "prediction"), ("calibrated", "calibrated")):
+        rows = made.sort_values([column, "impression_id"]).reset_index(drop=True)
+        for b in range(1, 11):
+            part = rows[(rows.index * 10 // len(rows) + 1) == b]
+            r = got[stage, b]
+            assert r.rows == len(part) and r.clicks == part.clk.sum() and abs(r.mean_prediction - part[column].mean()) < 1e-12 and abs(r.gap - abs(part[column].mean() - part.clk.mean())) < 1e-12
+    gaps = {s: sum(r.gap * r.rows for (t, _), r in got.items() if t == s) / len(made) for s in ("raw", "calibrated")}
+    assert gaps["calibrated"] < gaps["raw"]
+
+
+def metrics_of(y, p):
+    import numpy as np
+
+    q = np.clip(p, 1e-7, 1 - 1e-7)
+    return float(-(y * np.log(q) + (1 - y) * np.log(1 - q)).mean())
+
+
+def test_bootstrap(spark):
+    _, df = scored(spark, 4000)
+    got = {r["round"]: r for r in metrics.bootstrap(df).collect()}
+    assert len(got) == 20 and all(abs(r.rows / 4000 - 1) < 0.08 for r in got.values()) and len({r.rows for r in got.values()}) > 5
+    assert abs(sum(r.rows for r in got.values()) / 80000 - 1) < 0.02
+    whole = metrics.probability_metrics(df).first()
+    assert abs(sum(r.logloss for r in got.values()) / 20 - whole.logloss) < 0.05 and abs(sum(r.actual_ctr for r in got.values()) / 20 - whole.actual_ctr) < 0.01
+    again = {r["round"]: r for r in metrics.bootstrap(df.repartition(6)).collect()}
+    assert all(again[k].rows == r.rows and abs(again[k].logloss - r.logloss) < 1e-9 for k, r in got.items())
+
+
+def test_left_predictions_are_refused(spark, tmp_path):
+    models.refuse_left_predictions(spark, str(tmp_path / "none"))
+    (tmp_path / "a" / "val").mkdir(parents=True)
+    models.refuse_left_predictions(spark, str(tmp_path))
+    (tmp_path / "a" / "predictions_test.parquet").write_text("")
+    with pytest.raises(ValueError, match="before the test split"):
+        models.refuse_left_predictions(spark, str(tmp_path))
+
+
+def test_trees_split_by_categories(spark):
+    rows = [(i, i % 2, "train", i % 7 + 1, 0, float(i % 2) * 0) for i in range(700)]
+    rows = [(i, int(c in (2, 5, 7)), s, c, f, x) for i, _, s, c, f, x in rows]
+    df = spark.createDataFrame(rows, "impression_id long, clk int, split string, c_idx long, flag int, x double")
+    columns = {"categorical": ["c_idx"], "binary": ["flag"], "numeric": ["x"]}
+    trees = models.train(df, "gbt", columns, {"c_idx": 8}, validation=df, maxDepth=1, maxIter=3)
+    got = trees(df).toPandas()
+    assert ((got.prediction > 0.5) == (got.clk == 1)).all()  # one split by a set of values
+    assert models.importances(trees).orderBy(F.desc("gain")).first().feature == "c_idx"

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import clip, fold, logit
-from tidemark.operators.metrics import log_loss_term
+from tidemark.operators.metrics import equal_count_bins, log_loss_term, reliability
 from tidemark.schemas import EPS
+from tidemark.sources.scratch import keep
 
 
 def selection_rows(df: DataFrame, folds: int = 5, key: str = "impression_id", chosen: bool = True) -> DataFrame:
@@ -72,5 +73,17 @@ def predictions_of(stage: str, raw: DataFrame, calibrated: DataFrame | None = No
     return calibrated.select("impression_id", "clk", F.col("calibrated_prediction").alias("prediction"))
 
 
+def reliability_of_stages(val: DataFrame, test: DataFrame, bins: int = 10) -> DataFrame:
+    """Reliability of test predictions as they are and Platt-scaled on validation, in equal-count
+    bins of their own, with a column ``stage``."""
+    made = keep(fit_platt(val)(test), "calibrated")
+    out = None
+    for stage, column in (("raw", "prediction"), ("calibrated", "calibrated")):
+        rows = made.select("impression_id", "clk", F.col(column).alias("prediction"))
+        table = reliability(equal_count_bins(rows, bins)).withColumn("stage", F.lit(stage))
+        out = table if out is None else out.unionByName(table)
+    return out
+
+
 def probability(column: str = "probability"):
     return vector_to_array(F.col(column))[1]

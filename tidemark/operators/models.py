@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.encode import scaled, scaler
 from tidemark.operators.metrics import metrics
 from tidemark.schemas import UNKNOWN
-from tidemark.sources.tables import read_manifest, write_manifest
+from tidemark.sources.tables import read_manifest, shuffled, write_manifest
 
 SMOKE_ROWS = 10_000
 #: Values of a category up to which trees split by it.
@@ -73,8 +73,12 @@ def train(df: DataFrame, kind: str, columns: dict[str, list[str]], sizes: dict[s
         indices = [c for c in indices if kind == "gbt" and sizes[c] <= MOST_BINS]
         if indices:
             params = {"maxBins": max(32, *[sizes[c] for c in indices])} | params
-        nominal = lambda c: F.col(c).alias(c, metadata={"ml_attr": {"type": "nominal", "name": c, "num_vals": sizes[c]}})
-        ready = lambda t: scaled(t, stats).withColumns({c: nominal(c) for c in indices}).withColumn("clk", F.col("clk").cast("double"))
+
+        def ready(t: DataFrame) -> DataFrame:
+            out = scaled(t, stats).withColumn("clk", F.col("clk").cast("double"))
+            for c in indices:
+                out = out.withColumn(c, F.col(c).cast("double")).withMetadata(c, {"ml_attr": {"type": "nominal", "name": c, "num_vals": sizes[c]}})
+            return out
     else:
         ready = lambda t: neutral_unknown(scaled(t, stats), indices, sizes).withColumn("clk", F.col("clk").cast("double"))
     one_hot = kind in ("lr", "fm") and bool(indices)
@@ -149,7 +153,7 @@ def select_least_loss(results: DataFrame, family: str | None = None) -> DataFram
 
 def smoke(df: DataFrame, key: str = "impression_id", rows: int = SMOKE_ROWS) -> DataFrame:
     """A fixed small part of a table, for trial runs whose name ends in ``_smoke``."""
-    return df.orderBy(F.xxhash64(key), key).limit(rows)
+    return shuffled(df, key, 0, rows)
 
 
 def write_run(spark: SparkSession, path: str, kind: str, params: dict, columns: dict[str, list[str]], results: dict) -> None:

@@ -27,7 +27,7 @@ from tidemark.operators import pastctr as P
 from tidemark.operators import profile as R
 from tidemark.operators import quality as Q
 from tidemark.plans import oracle as O
-from tidemark.schemas import BINARY, CATEGORICAL, COUNTS, ENTITIES, HISTORY_FLAGS, METRICS, NUMERIC, PROFILE, RECENCIES, WINDOWS, index_name
+from tidemark.schemas import BINARY, CATEGORICAL, COUNTS, ENTITIES, HISTORY_FLAGS, METRICS, NUMERIC, PROFILE, RECENCIES, ROLES, WINDOWS, index_name, role_table
 from tidemark.sources import fixtures as X
 from tidemark.sources.scratch import keep
 
@@ -610,13 +610,217 @@ def feature_set_ablation(s, d):
     return out
 
 
-_GRID = [(0, 0.6551, 0.18947), (1, 0.6549, 0.18945), (2, 0.6560, 0.18970), (3, 0.6552, 0.18960), (4, 0.6552, 0.18962)]
-_grid_sql = "(SELECT * FROM (VALUES " + ", ".join(f"({a}, {b}, {c})" for a, b, c in _GRID) + ") g(config, auc, logloss))"
+# ---- runs: grids and the choice among them
 
+_ALPHAS = [0.0, 0.1, 0.2, 0.4, 0.8]
+_shrunk = "(SELECT pred.* REPLACE (alpha * 0.3 + (1 - alpha) * prediction AS prediction), config FROM pred, (VALUES " + ", ".join(f"({i}, CAST({a} AS DOUBLE))" for i, a in enumerate(_ALPHAS)) + ") g(config, alpha) WHERE split = 'val')"
+_grid_sql = f"({O.all_metrics(_shrunk, 'config')})"
 
-@query("l: config; d: auc logloss", f"SELECT * FROM {_grid_sql} WHERE logloss <= (SELECT min(logloss) FROM {_grid_sql}) + 0.0002 ORDER BY auc DESC, logloss, config LIMIT 1")
+
+@query("l: config; " + _MET, _grid_sql[1:-1])
+def shrinkage_grid(s, d):
+    """Predictions drawn towards a constant by several weights, judged on validation alone."""
+    val = keep(predictions(s, d).filter("split = 'val'"), "val")
+    run = lambda alpha: val.withColumn("prediction", F.lit(alpha * 0.3) + F.lit(1 - alpha) * F.col("prediction"))
+    return K.grid(run, [{"alpha": a} for a in _ALPHAS])
+
+
+@query("l: config; d: auc logloss", f"SELECT config, auc, logloss FROM {_grid_sql} WHERE logloss <= (SELECT min(logloss) FROM {_grid_sql}) + 0.0002 ORDER BY auc DESC, logloss, config LIMIT 1")
 def split_grid_selection(s, d):
-    return K.select_near_best(s.createDataFrame(_GRID, "config int, auc double, logloss double"))
+    return K.select_near_best(keep(shrinkage_grid(s, d), "grid"))
+
+
+@query("s: name; d: value", f"UNPIVOT (SELECT CAST(rows AS DOUBLE) AS rows, CAST(clicks AS DOUBLE) AS clicks, auc, logloss, copc FROM ({O.all_metrics('pred', 'split')}) WHERE split = 'val') ON rows, clicks, auc, logloss, copc INTO NAME name VALUE value")
+def run_manifest(s, d):
+    """Metrics of a run as its manifest gives them back."""
+    from tidemark.sources.scratch import new_path
+
+    path = new_path(s, "run")
+    found = M.metrics(predictions(s, d).filter("split = 'val'")).first()
+    K.write_run(s, path, "raw", {}, E.feature_set("F1"), {c: float(found[c]) for c in ("rows", "clicks", "auc", "logloss", "copc")})
+    return s.createDataFrame(list(K.read_run(s, path)["metrics"].items()), "name string, value double")
+
+
+@query("l: impression_id", "SELECT impression_id FROM cbase ORDER BY md5('0:' || impression_id), impression_id LIMIT 500")
+def smoke_rows(s, d):
+    return K.smoke(cold_base(s, d).select("impression_id"), rows=500)
+
+
+# ---- stages of evaluation
+
+_staged = "(SELECT 'raw' AS stage, clk, prediction FROM pred WHERE split = 'test' UNION ALL SELECT 'calibrated', clk, 0.9 * prediction + 0.01 FROM pred WHERE split = 'test')"
+
+
+@query("s: stage; " + _MET, O.all_metrics(_staged, "stage"))
+def stage_metrics(s, d):
+    test = keep(predictions(s, d).filter("split = 'test'"), "test")
+    made = test.select("impression_id", "clk", (0.9 * F.col("prediction") + 0.01).alias("calibrated_prediction"))
+    stages = [C.predictions_of(x, test, made).select("impression_id", "clk", "prediction", F.lit(x).alias("stage")) for x in ("raw", "calibrated")]
+    return M.metrics(stages[0].unionByName(stages[1]), ["stage"])
+
+
+@query("s: stage; l: bin rows clicks; d: min_prediction max_prediction mean_prediction actual_ctr gap copc", None)
+def reliability_calibrated(s, d):
+    """Reliability of raw and of Platt-scaled test predictions, each in bins of its own."""
+    return C.reliability_of_stages(*_val_test(s, d))
+
+
+# ---- reading and writing
+
+_USR = "l: userid cms_segid cms_group_id final_gender_code age_level shopping_level occupation; d: pvalue_level new_user_class_level"
+
+
+@query(_USR, "SELECT * FROM usr")
+def csv_user_profile(s, d):
+    """Profiles as a CSV file with words for null and a blank in a name, read by their schema."""
+    from tidemark.sources.scratch import new_path
+    from tidemark.sources.tables import read_raw
+
+    path, table = new_path(s, "csv"), X.user_profile(s, d)
+    words = table.select(*[F.coalesce(F.col(c).cast("string"), F.lit("NULL" if c < "o" else "null")).alias(c) for c in table.columns])
+    words.withColumnRenamed("new_user_class_level", "new_user_class_level ").write.option("header", True).csv(path)
+    return read_raw(s, "user_profile", path)
+
+
+@query("l: user time_stamp adgroup_id nonclk clk; s: pid", 'SELECT "user", time_stamp, adgroup_id, nonclk, clk, pid FROM smp')
+def csv_raw_sample(s, d):
+    from tidemark.sources.scratch import new_path
+    from tidemark.sources.tables import read_raw
+
+    path = new_path(s, "csv")
+    X.raw_sample(s, d).select("user", "time_stamp", "adgroup_id", "pid", "nonclk", "clk").write.option("header", True).csv(path)
+    return read_raw(s, "raw_sample", path)
+
+
+@query("l: impression_id clk", "SELECT impression_id, clk FROM base WHERE split IN ('val', 'test')")
+def glob_scan(s, d):
+    """Two of a table's partitions, found by their names, and two of its columns."""
+    from tidemark.sources.scratch import new_path
+    from tidemark.sources.tables import read_parquet, write_parquet
+
+    path = new_path(s, "parts")
+    write_parquet(base(s, d), path, ["split"])
+    return read_parquet(s, f"{path}/split={{val,test}}", columns=["impression_id", "clk"])
+
+
+@query("l: impression_id; s: split; f: log_price", "SELECT impression_id, split, log_price FROM base")
+def appended_table(s, d):
+    from tidemark.sources.scratch import new_path
+    from tidemark.sources.tables import append_parquet, read_parquet
+
+    path, rows = new_path(s, "appended"), keep(base(s, d).select("impression_id", "split", "log_price"), "base")
+    append_parquet([rows.filter(F.col("split") == x) for x in [*X.SPLITS, "out_of_range"]], path)
+    return read_parquet(s, path)
+
+
+@query("s: split; l: rows clicks; t: first_date last_date", "SELECT split, count(*) AS rows, sum(clk) AS clicks, min(event_date_bj) AS first_date, max(event_date_bj) AS last_date FROM base GROUP BY split")
+def csv_report(s, d):
+    from tidemark.sources.scratch import new_path
+    from tidemark.sources.tables import read_csv, write_report
+
+    path = new_path(s, "report")
+    write_report(split_summary(s, d), path)
+    return read_csv(s, path, "split string, rows long, clicks long, ctr double, first_date date, last_date date")
+
+
+@query("s: tbl; l: rows", " UNION ALL ".join(f"SELECT '{t}' AS tbl, count(*) AS rows FROM {t}" for t in X.TABLES))
+def footer_counts(s, d):
+    from tidemark.sources.tables import row_count
+
+    return s.createDataFrame([(t, row_count(s, f"{d}/{t}.parquet")) for t in X.TABLES], "tbl string, rows long")
+
+
+@query("l: impression_id", "SELECT impression_id FROM smp ORDER BY md5('42:' || impression_id), impression_id LIMIT 100")
+def seeded_shuffle(s, d):
+    """The first hundred of a seeded order."""
+    from tidemark.sources.tables import shuffled
+
+    return shuffled(X.raw_sample(s, d).select("impression_id"), "impression_id", 42, 100)
+
+
+@query("s: frame column found wanted", "SELECT * FROM (VALUES ('test', 'clk', 'bigint', 'int'), ('test', 'hour', NULL, 'int'), ('test', 'more', 'int', NULL)) v(frame, \"column\", found, wanted)")
+def schema_agreement(s, d):
+    """Splits of the base, one with a type, a column and a name that the others don't have."""
+    from tidemark.sources.tables import schema_differences
+
+    parts = {x: base(s, d).filter(F.col("split") == x) for x in X.SPLITS}
+    parts["test"] = parts["test"].withColumn("clk", F.col("clk").cast("long")).drop("hour").withColumn("more", F.lit(1))
+    return schema_differences(s, parts)
+
+
+# ---- features by role
+
+_ROLE = " ".join(f"WHEN column_name IN ({', '.join(repr(c) for c in cols)}) THEN '{role}'" for role, cols in ROLES.items())
+
+
+@query("s: column role; b: leaks", f"SELECT column_name AS \"column\", CASE {_ROLE} END AS role, coalesce(CASE {_ROLE} END, '') NOT IN ('label', 'metadata') AND regexp_matches(lower(column_name), 'clk|click|label|target') AS leaks FROM (DESCRIBE SELECT *, 1 AS last_click_label FROM bfeat)")
+def feature_roles(s, d):
+    return s.createDataFrame(role_table(impression_behavior_features(s, d).withColumn("last_click_label", F.lit(1)).columns), "column string, role string, leaks boolean")
+
+
+_GONE = ["hour_idx", "price_is_sentinel", "log_price"]
+
+
+def _sets_sql() -> str:
+    few, many = ("price_is_sentinel", "brand_is_missing", "has_profile"), tuple(BINARY)
+    past = [f"{n}_has_past_feedback" for n in ENTITIES]
+    parts = {
+        "F1": {"categorical": _INDEX, "binary": few, "numeric": ["log_price"]}, "F1+F2": {"categorical": _INDEX, "binary": many, "numeric": _NUM},
+        "F1+F2+F3": {"categorical": _INDEX, "binary": [*many, *past], "numeric": [*_NUM, *_F3N]},
+    }
+    listed = lambda cols: ", ".join(f"'{c}'" for c in cols)
+    arms = [f"SELECT '{n}' AS feature_set, '{k}' AS kind, unnest([{listed(cols)}]) AS feature" for n, kinds in parts.items() for k, cols in kinds.items()]
+    return f"SELECT * FROM ({' UNION ALL '.join(arms)}) WHERE feature NOT IN ('day_of_week_idx', {listed(_GONE)})"
+
+
+@query("s: feature_set kind feature", _sets_sql())
+def feature_sets(s, d):
+    """Columns of the three sets without the weekday and what is excluded by name."""
+    rows = [(n, kind, c) for n in ("F1", "F1+F2", "F1+F2+F3") for kind, cols in E.feature_set(n, _GONE).items() for c in cols]
+    return s.createDataFrame(rows, "feature_set string, kind string, feature string")
+
+
+_LAYOUT = [i for i in _INDEX if i != "day_of_week_idx"]
+_sizes_sql = " UNION ALL ".join(f"SELECT {n} AS n, '{i}' AS feature, count(*) + 2 AS size FROM v_{f}" for n, (f, i) in enumerate(zip(CATEGORICAL, _INDEX)) if i in _LAYOUT)
+_tail_sql = " UNION ALL ".join(f"SELECT {100 + n}, '{c}', 1" for n, c in enumerate(_NUM))
+
+
+@query("s: feature; l: offset size", f'SELECT feature, coalesce(sum(size) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset", size FROM ({_sizes_sql} UNION ALL {_tail_sql})')
+def one_hot_layout(s, d):
+    sizes = E.vocabulary_sizes(E.vocabularies(cold_base(s, d).filter("split = 'train'")))
+    return E.one_hot_layout(s, {i: sizes[i] for i in _LAYOUT}, _NUM)
+
+
+_apart = " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(avg({c}) FILTER (WHERE clk = 1) - avg({c}) FILTER (WHERE clk = 0)) AS gap FROM minput WHERE split = 'train'" for c in _NUM)
+
+
+@query("s: feature; d: gap share", f"SELECT feature, gap, gap / sum(gap) OVER () AS share FROM ({_apart})")
+def separation_shares(s, d):
+    """How far clicked and other rows lie apart in each number, as shares of the whole."""
+    mean = lambda c, y: F.avg(F.when(F.col("clk") == y, F.col(c).cast("double")))
+    gaps = inputs(s, d).filter("split = 'train'").agg(*[F.abs(mean(c, 1) - mean(c, 0)).alias(c) for c in _NUM])
+    long = gaps.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("gap")) for c in _NUM])).alias("x")).select("x.*")
+    return R.importance_shares(long, "gap")
+
+
+_audited = "(SELECT * FROM bfeat WHERE has_behavior_history_14d = 1 AND event_date_bj BETWEEN DATE '2024-01-22' AND DATE '2024-01-30')"
+_wrong = "(SELECT * REPLACE (CASE WHEN user_raw % 7 = 0 THEN event_count_7d + 1 ELSE event_count_7d END AS event_count_7d, CASE WHEN user_raw % 11 = 0 THEN NULL ELSE days_since_last_event_14d END AS days_since_last_event_14d) FROM look)"
+_drawn = f"(SELECT event_date_bj, user_raw FROM (SELECT *, row_number() OVER (PARTITION BY event_date_bj ORDER BY md5('42:' || user_raw), user_raw) AS r FROM (SELECT DISTINCT event_date_bj, user_raw FROM {_audited})) WHERE r <= 20)"
+_both = f"(SELECT DISTINCT user_raw, event_date_bj, {', '.join([*COUNTS, *RECENCIES])} FROM {_audited} SEMI JOIN {_drawn} w USING (user_raw, event_date_bj)) a LEFT JOIN {_wrong} b USING (user_raw, event_date_bj)"
+
+
+@query("s: check; l: violations", " UNION ALL ".join(f"SELECT '{c}' AS \"check\", count(*) FILTER (WHERE NOT coalesce(abs(a.{c} - b.{c}) <= 1e-5, a.{c} IS NULL AND b.{c} IS NULL)) AS violations FROM {_both}" for c in [*COUNTS, *RECENCIES]))
+def identity_audit_planted(s, d):
+    """The audit against a lookup in which some counts and times are wrong."""
+    table = impression_behavior_features(s, d).filter("has_behavior_history_14d = 1 AND event_date_bj >= DATE'2024-01-22' AND event_date_bj <= DATE'2024-01-30'")
+    wrong = behavior_windows(s, d).withColumns({
+        "event_count_7d": F.when(F.col("user_raw") % 7 == 0, F.col("event_count_7d") + 1).otherwise(F.col("event_count_7d")),
+        "days_since_last_event_14d": F.when(F.col("user_raw") % 11 != 0, F.col("days_since_last_event_14d")),
+    })
+    return Q.identity_audit(table, wrong, ["user_raw", "event_date_bj"], [*COUNTS, *RECENCIES], Q.hash_sample(table, "event_date_bj", "user_raw", 20))
+
+
+# ---- sequences
 
 
 @query("l: impression_id; s: sequence", "SELECT impression_id, coalesce((SELECT string_agg(btag, ',' ORDER BY time_stamp, btag) FROM (SELECT * FROM lg l WHERE l.\"user\" = b.user_raw AND l.btag IN ('pv', 'cart', 'fav', 'buy') AND l.time_stamp < epoch(CAST(b.event_date_bj AS TIMESTAMP)) - 28800 AND l.time_stamp >= epoch(CAST(b.event_date_bj AS TIMESTAMP)) - 28800 - 14 * 86400 ORDER BY time_stamp DESC, btag DESC LIMIT 20)), '') AS sequence FROM base b WHERE split IN ('val', 'test')")

@@ -10,10 +10,12 @@ RAW_SCHEMAS = {
     "user_profile": "userid long, cms_segid long, cms_group_id long, final_gender_code long, age_level long, pvalue_level double, shopping_level long, occupation long, `new_user_class_level ` double",
     "behavior_log": "user long, time_stamp long, btag string, cate long, brand long",
 }
+# What stands for null, the tags of behaviour, the price that stands for none.
 NULL_TOKENS = ["", "NULL", "null"]
 BTAGS = ["pv", "cart", "fav", "buy"]
 PRICE_SENTINEL = 99999999.0
 
+# Columns of the profile, and of what is counted over how many days.
 PROFILE = ["cms_segid", "cms_group_id", "final_gender_code", "age_level", "pvalue_level", "shopping_level", "occupation", "new_user_class_level"]
 METRICS = ["event", "pv", "cart", "fav", "buy"]
 WINDOWS = [1, 3, 7, 14]
@@ -39,6 +41,7 @@ LABEL = "clk"
 MODEL_COUNTS = [c for c in COUNTS if not c.startswith("event_")]
 PAD, UNKNOWN, FIRST_INDEX = 0, 1, 2
 RECENCY_FILL = 15.0
+# Fixed values of the protocol: click rate before any history, and impressions it weighs.
 PRIOR_CTR, PRIOR_WEIGHT = 0.05, 100.0
 EPS = 1e-7
 
@@ -51,6 +54,12 @@ def index_name(feature: str) -> str:
     return feature.removesuffix("_raw") + "_idx"
 
 
+def role_table(columns: list[str], roles: dict[str, list[str]] = ROLES) -> list[tuple[str, str | None, bool]]:
+    """Each column with its role, and whether it is a feature named for the label."""
+    of = {c: role for role, cols in roles.items() for c in cols}
+    return [(c, of.get(c), of.get(c) not in ("label", "metadata") and any(w in c.lower() for w in LEAK_WORDS)) for c in columns]
+
+
 def check_roles(columns: list[str], roles: dict[str, list[str]] = ROLES) -> None:
     """Each column has one role, each role's columns exist, no feature is named for the label."""
     named = [c for cols in roles.values() for c in cols]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,15 @@ def require_columns(df: DataFrame, columns: list[str]) -> None:
         raise ValueError(f"missing columns: {missing}")
 
 
+def schema_differences(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
+    """``frame``, ``column``, ``found``, ``wanted``: types that differ from the first frame's, null
+    for a column that isn't there."""
+    shapes = {name: {f.name: f.dataType.simpleString() for f in df.schema} for name, df in frames.items()}
+    wanted = next(iter(shapes.values()))
+    rows = [(name, c, shape.get(c), wanted.get(c)) for name, shape in shapes.items() for c in sorted({*shape, *wanted}) if shape.get(c) != wanted.get(c)]
+    return spark.createDataFrame(rows, "frame string, column string, found string, wanted string")
+
+
 def require_same_schema(frames: dict[str, DataFrame]) -> None:
     """All frames have the same names and types in the same order."""
     shapes = {name: [(f.name, f.dataType.simpleString()) for f in df.schema] for name, df in frames.items()}
@@ -66,6 +76,20 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def append_parquet(frames: Iterable[DataFrame], path: str) -> int:
+    """Writes frames one after another into one table, whose schema the first gives; their number.
+
+    A frame with other columns or types raises before it is written.
+    """
+    first, n = None, 0
+    for df in frames:
+        if first is not None:
+            require_same_schema({"first": first, f"frame {n}": df})
+        write_parquet(df, path, mode="errorifexists" if first is None else "append")
+        first, n = first or df, n + 1
+    return n
+
+
 def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A small table as one CSV file with a header."""
     df.coalesce(1).write.mode(mode).option("header", True).csv(path)
