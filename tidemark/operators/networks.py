@@ -4,10 +4,10 @@
 all categories and a perceptron over them and the dense inputs; ``deepfm`` adds the pairwise
 products of the embeddings to that. Unknown categories have position 0, whose weights stay zero.
 
-Rows are dealt into shards by a hash of their id. In an epoch every shard starts from the
-same weights and takes mini-batch steps through its rows in an order that a hash of epoch and id
-gives; weights are then averaged, those of a category over the shards that met it. So a shard
-that runs again on another executor gives the same weights. After each epoch the log loss of the
+Rows are dealt into shards by a hash of their id, once, and sorted by another. In an epoch every
+shard starts from the same weights and takes mini-batch steps through its rows, batch after batch
+in an order drawn from the epoch; weights are then averaged, those of a category over the shards
+that met it. So a shard that runs again on another executor gives the same weights. After each epoch the log loss of the
 validation rows is taken; the best epoch's weights are kept, and training stops when ``patience``
 epochs bring nothing better. Weights travel to the driver and back once an epoch: their number,
 bounded by the vocabularies, is checked.
@@ -42,7 +42,7 @@ class Settings:
     patience: int = 1
     rate: float = 0.005
     penalty: float = 1e-7
-    batch: int = 32
+    batch: int = 128
     factors: int = 8
     hidden: tuple[int, ...] = (128, 64)
     shards: int | None = None
@@ -170,15 +170,20 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
             yield b, matrix(b.column("at"), np.int64), matrix(b.column("x"), np.float64)
 
 
-def _epoch(rows: DataFrame, net: Net, epoch: int, shards: int) -> Net:
+def _epoch(dealt: DataFrame, net: Net, epoch: int) -> Net:
     """Weights after every shard's walk, averaged."""
     s = net.settings
-    sent = rows.sparkSession.sparkContext.broadcast(net)  # MOST_NUMBERS at most
-    dealt = rows.repartition(shards, "impression_id").sortWithinPartitions(F.xxhash64("impression_id", F.lit(s.seed), F.lit(epoch)), "impression_id")
+    sent = dealt.sparkSession.sparkContext.broadcast(net)  # MOST_NUMBERS at most
+
+    def parts(batches):
+        rng = np.random.default_rng((s.seed, epoch))
+        for b, at, x in _batches(batches):
+            turn = rng.permutation(len(at))
+            yield at[turn], x[turn], b.column("clk").to_numpy().astype(np.float64)[turn]
 
     def walk(batches):
         before = sent.value
-        after, met = before.walk((at, x, b.column("clk").to_numpy().astype(np.float64)) for b, at, x in _batches(batches))
+        after, met = before.walk(parts(batches))
         moved = (after.table - before.table)[met]
         values = [*moved, *[v.ravel() for v in after.dense.values()]]
         names = [""] * len(met) + list(after.dense)
@@ -238,15 +243,17 @@ def train_network(train: DataFrame, validation: DataFrame, columns: dict[str, li
     rows, held = keep(ready(train), "train"), keep(ready(validation), "validation")
     net = Net.start(settings, many, len(names), len(dense))
     shards = settings.shards or max(SHARDS, -(-rows.count() // SHARD_ROWS))
+    dealt = rows.repartition(shards, "impression_id").sortWithinPartitions(F.xxhash64("impression_id", F.lit(settings.seed)), "impression_id").persist()
     best, history = None, []
     for epoch in range(settings.epochs):
-        net = _epoch(rows, net, epoch, shards)
+        net = _epoch(dealt, net, epoch)
         loss = _scored(held, net).agg(F.avg(log_loss_term(F.col("clk"), F.col("prediction")))).first()[0]
         history.append(loss)
         if best is None or loss is not None and loss < min(x for x in history[:-1] if x is not None):
             best = net
         elif epoch - int(np.argmin(history)) >= settings.patience:
             break
+    dealt.unpersist()
 
     def apply(t: DataFrame) -> DataFrame:
         return _scored(ready(t), best)
