@@ -36,6 +36,8 @@ from tidemark.llm.components import connected_components
 LISTS = 10
 TREES = 10
 ROUNDS = 5
+#: Share of new entries in a round's lists at which the descent ends.
+SETTLED = 0.01
 #: Nodes of a tree's leaf that are compared at once, about, and at most.
 LEAF, LEAF_MOST = 96, 256
 #: Nodes of a larger leaf that are in each of its blocks, about.
@@ -200,7 +202,7 @@ def neighbour_graph(nodes: DataFrame, width: int, n: int, k: int, trees: int, ro
     for turn in range(rounds):
         last, graph = graph, materialize(descend(nodes, graph, width, k, turn, own), "graph")
         discard(last)
-        if (graph.agg(F.sum("new")).first()[0] or 0) <= 0.001 * k * n:
+        if (graph.agg(F.sum("new")).first()[0] or 0) <= SETTLED * k * n:
             break
     return graph
 
@@ -393,7 +395,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "
     rows = materialize(
         vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(F.col(embedding), lambda y: y.cast("double") + 0.0).alias("x"))
         .distinct()
-        .withColumn("ok", F.coalesce(usable, F.lit(False))),
+        .withColumns({"ok": F.coalesce(usable, F.lit(False)), "h": F.xxhash64("x")}),  # sorts fast where x is joined on
         "vectors",
     )
     good = rows.filter("ok")
@@ -405,14 +407,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "
     def quantise(batches):
         for b in batches:
             q = _bytes(_unit(_matrix(b.column("x"), width)))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("v", "x", "least_id", "times")], pa.array([r.tobytes() for r in q], pa.binary())], names=["v", "x", "least_id", "times", "q"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("v", "h", "x", "least_id", "times")], pa.array([r.tobytes() for r in q], pa.binary())], names=["v", "h", "x", "least_id", "times", "q"])
 
     # equal vectors are one node, numbered by its smallest id; where two vectors have one id, by
     # a hash of the vector
-    classes = good.groupBy("x").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("times"))
+    classes = good.groupBy("h", "x").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("times"))
     for number in (F.col("least_id"), F.xxhash64("x"), F.xxhash64("x", F.lit(1))):
-        numbered = classes.select(number.alias("v"), "x", "least_id", "times")
-        nodes = materialize(numbered.mapInArrow(quantise, "v long, x array<double>, least_id long, times long, q binary"), "nodes")
+        numbered = classes.select(number.alias("v"), "h", "x", "least_id", "times")
+        nodes = materialize(numbered.mapInArrow(quantise, "v long, h long, x array<double>, least_id long, times long, q binary"), "nodes")
         size, numbers = nodes.agg(F.count("*"), F.count_distinct("v")).first()
         if size == numbers:
             break
@@ -430,9 +432,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "
         k, trees = 2 * k, 2 * trees
     else:
         members, counts = all_compared(nodes, width, threshold)
-    placed = nodes.select("v", "x", "least_id", "times").join(members, F.col("v") == F.col("node"), "left").withColumn("label", F.coalesce("component", "v"))
+    placed = nodes.select("v", "h", "x", "least_id", "times").join(members, F.col("v") == F.col("node"), "left").withColumn("label", F.coalesce("component", "v"))
     names = materialize(placed.groupBy("label").agg(F.min("least_id").alias("component_id")), "names")
-    known = placed.join(names, "label").join(counts, "v", "left").select("x", "component_id", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"))
+    known = placed.join(names, "label").join(counts, "v", "left").select("h", "x", "component_id", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"))
     known = materialize(known, "known")
-    linked = good.join(known, "x").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    linked = good.join(known, ["h", "x"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     return linked.unionByName(alone)
