@@ -52,3 +52,15 @@ def test_documents(spark, monkeypatch):
     got = sorted(((r.doc_id, r.n_tokens) for r in tc.document_token_counts(df, RANKS, EOD, block_bytes=64).collect()), key=str)
     assert got == sorted(((i, len(enc.encode_ordinary(t or ""))) for i, t in rows), key=str)
     assert tc.document_token_counts(df.limit(0), RANKS, EOD).count() == 0
+
+
+@pytest.mark.parametrize("text", ["one two  three   four \n five\t six", "  lead and trail  ", "a" * 50 + "  " + "b" * 50, " " * 40, "x  " * 30])
+def test_pieces_meet_where_no_token_goes_on(monkeypatch, text):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), encoding="ascii") as f:
+        encoding = tokencount._encoding(f.read())
+    whole = encoding.encode_ordinary(text * 5)
+    for piece in range(1, 12):
+        monkeypatch.setattr(tokencount, "PIECE", piece)
+        assert tokencount._token_ids(encoding, text * 5).tolist() == whole

@@ -8,8 +8,9 @@ t a / H + 1 blocks; the period then repeats. Once a source has no block left its
 passed over and the others go on in the same order, so all documents keep a place.
 
 The place of a block follows from its period, its slot and how many blocks each source has, so
-there is no global sort and no window over a whole source: ranks within a source are counted
-in buckets of bounded size and joined by prefix sums of their counts.
+there is no global sort and no window over a source's documents: ranks within a source are
+counted in buckets of bounded size and joined by prefix sums of their counts, a row for each
+bucket. A period is worked out in one task, in time that grows with the square of its slots.
 """
 
 from __future__ import annotations
@@ -133,7 +134,11 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, doc_id: str = "d
 
 
 def mixed_order(docs: DataFrame, weights: dict[str, int] | None = None, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """``docs`` dealt out in the mixed order: partition after partition, sorted within each."""
+    """``docs`` dealt out in the mixed order: partition after partition, sorted within each.
+
+    Rows that repeat, and those with null ids, sources or texts, keep a place each; an empty
+    table gives an empty result. Columns are those of ``docs``.
+    """
     names, position = docs.columns, "mix_position"
     while position in names:
         position += "_"

@@ -239,6 +239,8 @@ def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """Rows of ``docs`` whose doc_id names their component: one document of each group stays.
 
     Rows with a null doc_id stay as they are: nothing says which of them is the same document.
+    Rows that repeat the id that stays all stay. Null, empty and blank texts are one group; an
+    empty table gives an empty result.
     """
     known = docs.filter(F.col(doc_id).isNotNull())
     found = simhash_components(known, doc_id, text, limit)

@@ -44,8 +44,10 @@ def _encoding(ranks_file: str):
 
 def _token_ids(encoding, text: str) -> np.ndarray:
     at, parts = 0, []
-    while len(text) - at > PIECE:  # a piece ends before a blank, where no token of words goes on
+    while len(text) - at > PIECE:  # a piece ends between a character and a blank, where no token goes on
         cut = text.find(" ", at + PIECE)
+        while cut > 0 and text[cut - 1].isspace():
+            cut = text.find(" ", cut + 1)
         if cut < 0:
             break
         parts.append(encoding.encode_ordinary(text[at:cut]))
@@ -102,7 +104,7 @@ def write_token_files(docs: DataFrame, ranks_path: str, eod: int, dtype: str = "
 
 
 def list_token_files(spark, folder: str) -> DataFrame:
-    """``file``, ``bytes`` of all files directly in a shared folder."""
+    """``file``, ``bytes`` of all files directly in a shared folder, each once; none of an empty one."""
     from pyarrow.fs import FileSelector, FileType
 
     fs, inner = shared_file_system(folder)

@@ -311,7 +311,8 @@ def convert(folder: str, files: DataFrame, min_bytes: int = 0) -> tuple[str, Dat
 
     Of records with equal payloads of at least ``min_bytes`` bytes the one with the largest id
     is kept whole and the others revisit it; among rows with that same id the last place in
-    the files counts, and null ids come last. Smaller payloads are all kept whole.
+    the files counts, and null ids come last. Smaller payloads are all kept whole. Repeated
+    records are records of their own; an empty table of files gives an empty one.
     """
     spark = files.sparkSession
     out = _folder(spark, "warc")
