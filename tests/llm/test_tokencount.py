@@ -56,11 +56,9 @@ def test_documents(spark, monkeypatch):
 
 @pytest.mark.parametrize("text", ["one two  three   four \n five\t six", "  lead and trail  ", "a" * 50 + "  " + "b" * 50, " " * 40, "x  " * 30])
 def test_pieces_meet_where_no_token_goes_on(monkeypatch, text):
-    import public_tokenizers
-
-    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), encoding="ascii") as f:
-        encoding = tokencount._encoding(f.read())
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), encoding="ascii") as f:
+        encoding = tc._encoding(f.read())
     whole = encoding.encode_ordinary(text * 5)
     for piece in range(1, 12):
-        monkeypatch.setattr(tokencount, "PIECE", piece)
-        assert tokencount._token_ids(encoding, text * 5).tolist() == whole
+        monkeypatch.setattr(tc, "PIECE", piece)
+        assert tc._token_ids(encoding, text * 5).tolist() == whole
