@@ -100,7 +100,7 @@ def test_scaled_copies(spark):
     assert run(spark, rows) == brute(rows)
 
 
-@pytest.mark.parametrize("spread", [0.012, 0.09])  # all settled by rings; none of them
+@pytest.mark.parametrize("spread", [0.012, 0.09])  # tight and loose
 def test_large_components(spark, monkeypatch, spread):
     """Rings settle what is close together; the rest is compared in blocks."""
     monkeypatch.setattr(neardup, "BLOCK", 64)
