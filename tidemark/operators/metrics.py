@@ -142,10 +142,11 @@ def cold_start_segment(user: Column, ad: Column) -> Column:
     )
 
 
-def checked_join(predictions: DataFrame, context: DataFrame, key: str = "impression_id") -> DataFrame:
+def checked_join(predictions: DataFrame, context: DataFrame, key: str = "impression_id", probabilities: bool = True) -> DataFrame:
     """Predictions with their context, one row of each.
 
-    Raises on a repeated key, a probability out of range, a missing context or another label.
+    Raises on a repeated key, a missing context or another label and, unless ``probabilities``
+    is off because predictions are scores of any size, on a probability out of range.
     """
     right = context.withColumnRenamed("clk", "__clk")
     p, c = (d.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] for d in (predictions, context))
@@ -155,7 +156,7 @@ def checked_join(predictions: DataFrame, context: DataFrame, key: str = "impress
     bad, lost, other = joined.agg(
         F.count_if(F.col("prediction").isNull() | invalid_probability(F.col("prediction"))), F.count_if(F.col("__clk").isNull()), F.count_if(F.col("__clk") != F.col("clk"))
     ).first()
-    for n, what in ((bad, "invalid predictions"), (lost, "rows without context"), (other, "rows with another label")):
+    for n, what in ((bad if probabilities else 0, "invalid predictions"), (lost, "rows without context"), (other, "rows with another label")):
         if n:
             raise ValueError(f"{n} {what}")
     return joined.drop("__clk")
