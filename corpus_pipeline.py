@@ -39,11 +39,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every whole text, digests of them and of what they decode to, and the place
-    of each document in the Pfair schedule, in which files read back need not come."""
+    """Token ids of every whole text, digests of them and of what they decode to, and as
+    ``mix_position`` the place of each document in the order the files of ``docs`` hold, which
+    is the one that the mixing stage wrote."""
     path = public_tokenizers.path("word_bpe_49k.json")
     # the place travels with the id, as the encoder reads no other columns
-    placed = mixing.mix(docs.select("doc_id", "source", "text")).select(F.struct("doc_id", "mix_position").alias("doc_id"), "text")
+    placed = mixing.place_in_files(docs.select("doc_id", "text")).select(F.struct("doc_id", "mix_position").alias("doc_id"), "text")
     encoded = bpe.encode_documents(placed, path, outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
     return encoded.select("doc_id.doc_id", *encoded.columns[1:], "doc_id.mix_position")
 

@@ -70,6 +70,24 @@ def test_order_and_empty(spark):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed_order(docs.limit(0)).count() == 0
 
 
+def test_place_in_files(spark, tmp_path):
+    docs = rows(spark)
+    places = lambda df: sorted((r.mix_position, r.doc_id or -1) for r in df.collect())
+    path = str(tmp_path / "ordered")
+    mixing.mixed_order(docs, {"b": 5}).write.parquet(path)
+    found = mixing.place_in_files(spark.read.parquet(path))
+    assert places(found) == places(mixing.mix(docs, {"b": 5})) != places(mixing.mix(docs)) and found.columns == [*docs.columns, "mix_position"]
+    # the number of a file counts, not its name; one file is read in pieces
+    (tmp_path / "files").mkdir()
+    spark.range(0, 1000, 1, 1).write.parquet(str(tmp_path / "a"))
+    spark.range(1000, 1010, 1, 1).write.parquet(str(tmp_path / "b"))
+    for folder, name in (("a", "part-99999-x.parquet"), ("b", "part-100000-x.parquet")):
+        next((tmp_path / folder).glob("part-*")).rename(tmp_path / "files" / name)
+    assert all(r.id == r.mix_position for r in mixing.place_in_files(spark.read.parquet(str(tmp_path / "files"))).collect())
+    docs.limit(0).write.parquet(str(tmp_path / "none"))
+    assert mixing.place_in_files(spark.read.parquet(str(tmp_path / "none"))).count() == 0
+
+
 def test_native(spark):
     plan = mixing.mix(rows(spark).withColumn("z", F.lit(1)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan

@@ -87,6 +87,17 @@ def test_prefixes_of_the_result_meet_the_weights(spark, outputs):
     assert all(want[r.doc_id] == r.mix_position for r in last.itertuples())
 
 
+def test_encoding_follows_the_mixing_stage(spark, outputs, monkeypatch):
+    docs = spark.createDataFrame(outputs[3])
+    order = mixing.mixed_order  # weights other than those of the stage
+    monkeypatch.setattr(mixing, "mixed_order", lambda d: order(d, {sorted(outputs[3].source)[0]: 40}))
+    written = materialize(pipeline.mix_sources(spark, docs, SMALL), "other")
+    last = pipeline.encode(spark, written, SMALL).toPandas()
+    want = mixing.mix(docs, {sorted(outputs[3].source)[0]: 40}).toPandas()
+    assert dict(zip(last.doc_id, last.mix_position)) == dict(zip(want.doc_id, want.mix_position))
+    assert dict(zip(last.doc_id, last.mix_position)) != dict(zip(outputs[5].doc_id, outputs[5].mix_position))
+
+
 def test_encoding(spark, outputs):
     docs, last = outputs[4:]
     ref = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))

@@ -21,7 +21,7 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shuffle_partitions
+from tidemark.llm.common import materialize, shuffle_partitions
 
 #: Documents of a block.
 BLOCK = 32
@@ -33,6 +33,8 @@ BUCKET = 2_000
 PART = 20_000
 #: Numbers of a period's table up to which it is sent to every executor (8 bytes each).
 BROADCAST_NUMBERS = 2_000_000
+#: Files up to which their sizes are sent to every executor.
+BROADCAST_FILES = 200_000
 
 
 def _weights_from_counts(counts: DataFrame, period: int, power: float) -> DataFrame:
@@ -147,3 +149,22 @@ def mixed_order(docs: DataFrame, weights: dict[str, int] | None = None, doc_id:
     placed = mix(docs, weights, doc_id, source, position=position)
     part = F.least(F.floor(F.col(position) * parts / max(1, total)), F.lit(parts - 1)).cast("int")
     return placed.repartitionById(parts, part).sortWithinPartitions(position).select(*[F.col(f"`{c}`") for c in names])
+
+
+def place_in_files(docs: DataFrame, position: str = "mix_position") -> DataFrame:
+    """``docs``, read from Parquet files, with each row's place in them, from 0 without gaps:
+    files by the number of the partition that wrote them, rows as they lie.
+
+    So what :func:`mixed_order` gave is found again after it was written, though files are read
+    in any order. Rows are counted by file, and no row moves. A column already named
+    ``position`` is replaced; an empty table gives an empty result; a table that isn't read
+    from files has no such order and raises.
+    """
+    file, names = F.col("_metadata.file_path"), [c for c in docs.columns if c != position]
+    lying = docs.select(*[F.col(f"`{c}`") for c in names], file.alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    number = F.regexp_extract("__file", "part-([0-9]+)[^/]*$", 1).try_cast("long")
+    before = Window.orderBy(number, "__file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    sizes = lying.groupBy("__file").agg(F.count("*").alias("n"))
+    skips = materialize(sizes.select("__file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__skip")), "files")
+    sent = F.broadcast(skips) if skips.count() <= BROADCAST_FILES else skips
+    return lying.join(sent, "__file").select(*[F.col(f"`{c}`") for c in names], (F.col("__skip") + F.col("__row")).alias(position))
