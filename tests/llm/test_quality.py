@@ -51,6 +51,50 @@ def test_weights_minimise_the_loss():
     assert np.abs(descend(z, better, worse) - model.weights).max() < 1e-4
 
 
+def test_all_pairs_count(spark):
+    rng = np.random.default_rng(8)
+    y = (rng.random(900) > 0.4).astype(int)
+    x = rng.normal(size=(900, 4)) + np.outer(y, [0.6, -0.4, 0.0, 0.1])
+    model = quality.fit(x, y, (y == 0).mean())
+    better, worse = (a.ravel() for a in np.meshgrid(np.flatnonzero(y == 1), np.flatnonzero(y == 0)))
+    assert len(better) > 150_000  # more than were drawn before
+    z = (x - x.mean(0)) / x.std(0)
+    for i in range(4):
+        step = 1e-4 * np.eye(4)[i]
+        assert abs(pair_loss(model.weights + step, z, better, worse) - pair_loss(model.weights - step, z, better, worse)) / 2e-4 < 1e-6
+    table = spark.createDataFrame([(r.tolist(), int(k)) for r, k in zip(x, y)], "x array<double>, y int").repartition(7)
+    again = quality.fit_table(table, (y == 0).mean(), 4)
+    assert np.abs(again.weights - model.weights).max() < 1e-9 and abs(again.threshold - model.threshold) < 1e-9
+
+
+@pytest.mark.parametrize("looked_up", [1, 100_000])
+def test_threshold_is_the_quantile(monkeypatch, looked_up):
+    monkeypatch.setattr(quality, "LOOKED_UP", looked_up)
+    rng = np.random.default_rng(4)
+    for i in range(60):
+        y = np.r_[0, 1, rng.random(rng.integers(0, 50)) > 0.5].astype(int)
+        s = rng.integers(-3, 4, len(y)) * 1.0 if i % 2 else rng.normal(size=len(y))
+        share = rng.random()
+        got = quality._threshold(quality._Memory(s[:, None], y), lambda x: x[:, 0], 8.0, np.bincount(y), share)
+        order = np.lexsort((y, s))
+        below = np.cumsum(np.where(y == 1, (1 - share) / (y == 1).sum(), share / (y == 0).sum())[order])
+        at = np.clip((below <= share * (1 + 1e-9)).sum(), 1, len(y) - 1)
+        assert got == (s[order[at - 1]] + s[order[at]]) / 2
+
+
+def test_all_labelled_rows_are_learnt_from(spark, monkeypatch):
+    n, seen = 24_000, {}  # about 9,600 of each label that aren't held out
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat(if(id % 2 = 0, 'fine ', '### '), 'w', id % 7) AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "cast(1 - id % 2 AS int) AS quality")
+    counted, fitted = quality._lexicon, quality.fit_table
+    monkeypatch.setattr(quality, "_lexicon", lambda d: seen.setdefault("lexicon", counted(d)))
+    monkeypatch.setattr(quality, "fit_table", lambda d, *a: (seen.setdefault("rows", d.count()), fitted(d, *a))[1])
+    quality.fit_scorer(docs, labels)
+    taught = [i % 2 for i in range(n) if zlib.crc32(str(i).encode()) % 5]
+    assert list(seen["lexicon"].documents) == [sum(taught), len(taught) - sum(taught)] and min(seen["lexicon"].documents) > 8_000
+    assert seen["rows"] == len(taught)
+
+
 def naive_features(text, docs, own):
     """The features of a text by plain counting; ``docs`` are (set of buckets, label) learnt from."""
     raw = (text or "").encode()
